@@ -10,6 +10,7 @@ lookahead is bounded. States and transitions are kept and dropped together when
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,6 +24,9 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the public pre-tokenisation pattern of byte_bpe_50k.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
+#: The same pattern for texts of ASCII characters only.
+ASCII_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s"
+
 STATE_LIMIT = 400_000
 PIECE_LIMIT = 400_000
 #: Longer pieces are encoded each time they come and not kept.
@@ -157,7 +161,11 @@ class Encoder(dict):
         import regex
 
         self.transducer = transducer
-        self.split = regex.compile(PATTERN).findall
+        self.split_any = regex.compile(PATTERN).findall
+        self.split_ascii = re.compile(ASCII_PATTERN, re.ASCII).findall
+
+    def split(self, text: str) -> list[str]:
+        return self.split_ascii(text) if text.isascii() else self.split_any(text)
 
     def __missing__(self, piece: str) -> bytes:
         packed = np.array(self.transducer.encode_piece(piece.encode()), np.int32).tobytes()
