@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_QUERY_MODULES = ["similar_queries", "terms_queries", "text_queries"]
+_QUERY_MODULES = ["clusters_queries", "similar_queries", "terms_queries", "text_queries"]
 
 
 def query_modules():
