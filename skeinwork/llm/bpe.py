@@ -110,30 +110,35 @@ class Transducer:
         return known
 
     def _move(self, number: int, byte: int) -> tuple[tuple[int, ...], int]:
-        step = bytes((byte,))
-        live = []
-        for partial, last, held in self._states[number]:
+        step, ranks, live, closed = bytes((byte,)), self.ranks, [], None
+        for partial, last, held in self._states[number]:  # longest partial first
             grown = partial + step
-            token = self.ranks.get(grown)
-            if token is not None and (last < 0 or self.may_follow(last, token)):
-                live.append((b"", token, (*held, token)))
+            if closed is None:  # one segmentation of what was read is right, so one guess at most closes here
+                token = ranks.get(grown)
+                if token is not None and (last < 0 or self.may_follow(last, token)):
+                    closed = (b"", token, (*held, token))
             if grown in self.prefixes:
                 live.append((grown, last, held))
-        if not any(p == b"" for p, _, _ in live):
+        if closed is None:
             raise ValueError("the vocabulary lacks a byte")
+        live.append(closed)
         agreed = live[0][2]
-        for _, _, held in live[1:]:
-            k = 0
-            while k < min(len(agreed), len(held)) and agreed[k] == held[k]:
-                k += 1
-            agreed = agreed[:k]
-        state = tuple(sorted((p, last, held[len(agreed) :]) for p, last, held in live))
+        if agreed:
+            for _, _, held in live[1:]:
+                k = 0
+                while k < min(len(agreed), len(held)) and agreed[k] == held[k]:
+                    k += 1
+                agreed = agreed[:k]
+        state = tuple((p, last, held[len(agreed) :]) for p, last, held in live) if agreed else tuple(live)
         move = (agreed, self._intern(state))
         self._moves[number][byte] = move
         return move
 
     def encode_piece(self, data: bytes) -> list[int]:
-        """Ids of one pre-token, in one pass over its bytes."""
+        """Ids of one pre-token, in one pass over its bytes; one that is a token is its own encoding."""
+        whole = self.ranks.get(data)
+        if whole is not None:
+            return [whole]
         if len(self._states) > self.state_limit:
             self._reset()
         moves, number, out = self._moves, 0, []
