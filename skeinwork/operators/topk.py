@@ -36,6 +36,22 @@ def positions(rows: DataFrame, order: Sequence[str], name: str = "pos") -> DataF
     return parts.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__before") + F.col("__row")).drop("__part", "__row", "__before")  # one row a partition
 
 
+def group_positions(rows: DataFrame, groups: Sequence[str], order: Sequence[Column], name: str = "place") -> DataFrame:
+    """``rows`` with their place 1, 2, ... in ``order`` inside their group, whatever the size of a group.
+
+    Rows are parted by ranges of group and order, so a large group lies in several partitions; a row's place is the group's rows in the
+    partitions before plus its place in its own. Rows that tie are placed in any order, the same for every reader.
+    """
+    keys = [F.col(g) for g in groups]
+    parts = cut(rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id()), "places")
+    slices = parts.groupBy(*groups, "__part").agg(F.count(F.lit(1)).alias("n"), F.min("__row").alias("__first"))
+    before = W.partitionBy(*groups).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    slices = slices.withColumn("__before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    same = [F.col(f"l.{g}").eqNullSafe(F.col(f"r.{g}")) for g in groups]
+    joined = parts.alias("l").join(slices.alias("r"), [*same, F.col("l.__part") == F.col("r.__part")])
+    return joined.select("l.*", (F.col("r.__before") + F.col("l.__row") - F.col("r.__first") + 1).alias(name)).drop("__part", "__row")
+
+
 def sample(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """``n`` rows without replacement, by seeded hash of ``key``."""
     return rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
