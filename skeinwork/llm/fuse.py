@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.topk import group_positions
+
 
 def places(scores: DataFrame, query: str, item: str, run: str, score: str, runs: Sequence[str], directions: Mapping[str, int] | None = None) -> DataFrame:
     """``(query, item, p_0 ... p_k)``: the place of each item in each of ``runs`` of its query, best first.
@@ -24,7 +26,7 @@ def places(scores: DataFrame, query: str, item: str, run: str, score: str, runs:
     value = F.col(score).cast("double")
     kept = scores.filter(F.col(query).isNotNull() & F.col(item).isNotNull() & F.col(run).isin(list(runs)) & value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")))
     best = kept.groupBy(F.col(query).alias("q"), F.col(item).cast("long").alias("i"), F.col(run).alias("r")).agg(F.max(value * sign).alias("s"))
-    placed = best.withColumn("p", F.row_number().over(W.partitionBy("q", "r").orderBy(F.desc("s"), "i")))
+    placed = group_positions(best, ["q", "r"], [F.desc("s"), F.col("i").asc()], "p")
     wide = placed.groupBy("q", "i").agg(*(F.max(F.when(F.col("r") == name, F.col("p"))).alias(f"p_{k}") for k, name in enumerate(runs)))
     # the largest place of a run is its number of items
     missing = wide.groupBy("q").agg(*((F.coalesce(F.max(f"p_{k}"), F.lit(0)) + 1).alias(f"m_{k}") for k in range(len(runs))))
@@ -84,5 +86,8 @@ def fused_ranking(
         order = F.col("fused").desc()
     else:
         raise ValueError(f"combine: {combine}")
-    ranked = fused.withColumn("rank", F.row_number().over(W.partitionBy(query).orderBy(order, F.col(item).asc())))
-    return (ranked if top is None else ranked.filter(F.col("rank") <= top)).select(query, item, "fused", "rank")
+    if top is None:
+        ranked = group_positions(fused, [query], [order, F.col(item).asc()], "rank")
+    else:  # ranks above ``top`` are cut before the shuffle
+        ranked = fused.withColumn("rank", F.row_number().over(W.partitionBy(query).orderBy(order, F.col(item).asc()))).filter(F.col("rank") <= top)
+    return ranked.select(query, item, "fused", F.col("rank").cast("int").alias("rank"))

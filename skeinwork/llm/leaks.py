@@ -124,7 +124,9 @@ class ItemIndex:
 
 
 def slots_agree(item: tuple[str, ...], found: tuple[str, ...]) -> bool:
-    """Whether each value of the item stands for one value of the text and the other way round."""
+    """Whether each value of the item stands for one value of the text and the other way round, and at least half of the words are the same."""
+    if 2 * sum(a == b for a, b in zip(item, found)) < len(item):
+        return False
     there: dict[str, str] = {}
     back: dict[str, str] = {}
     return all(there.setdefault(a, b) == b and back.setdefault(b, a) == a for a, b in zip(item, found))

@@ -62,9 +62,12 @@ def _partition(hash_: Column, bits: int, splits: list[tuple[int, list[int]]]) ->
 
 def _aggregate(folder: str | None, memory_mb: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import shutil
+        import uuid
+
         import duckdb
 
-        db = None
+        db, spill = None, f"{folder}-{uuid.uuid4().hex}" if folder else None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -72,8 +75,8 @@ def _aggregate(folder: str | None, memory_mb: int):
                 db = duckdb.connect()
                 db.execute("SET threads = 1")
                 db.execute(f"SET memory_limit = '{memory_mb}MB'")
-                if folder:
-                    db.execute(f"SET temp_directory = '{folder}'")
+                if spill:
+                    db.execute(f"SET temp_directory = '{spill}'")
                 db.execute("CREATE TABLE p (fieldname VARCHAR, term VARCHAR, total BIGINT, records BIGINT)")
             db.register("batch", pa.Table.from_batches([batch]))
             db.execute("INSERT INTO p SELECT fieldname, term, total, records FROM batch")
@@ -84,6 +87,8 @@ def _aggregate(folder: str | None, memory_mb: int):
         for out in result.to_arrow_reader(50_000):
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(out.columns, _ARROW)], schema=_ARROW)
         db.close()
+        if spill:
+            shutil.rmtree(spill, ignore_errors=True)
 
     return run
 

@@ -73,9 +73,9 @@ def _read_file(path: str, n: int, stats: dict | None = None) -> pa.RecordBatch |
     return pa.RecordBatch.from_arrays([pa.array([int(r[k]) if k != 1 else float(r[k]) for r in flat], f.type) for k, f in enumerate(_OUT)], schema=_OUT)
 
 
-def bucketed(rows: DataFrame, group: str, spread: str, file_rows: int) -> tuple[DataFrame, int]:
-    """``rows`` with ``__bucket``: one for a group, several by ``spread`` for a group above ``file_rows`` rows; and how many there are."""
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
+def bucketed(rows: DataFrame, sized: DataFrame, group: str, spread: str, file_rows: int) -> tuple[DataFrame, int]:
+    """``rows`` with ``__bucket``: one for a group, several by ``spread`` for a group above ``file_rows`` rows of ``sized``; and how many there are."""
+    sizes = sized.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
     total, heavy_count = sizes.agg(F.sum("__n"), F.count_if(F.col("__n") > file_rows)).first()
     count = max(parallelism(rows.sparkSession), -(-(total or 0) // file_rows))
     place: Column = F.xxhash64(group)
@@ -109,11 +109,12 @@ def top_n(
     when = F.expr(f"unix_micros(cast(`{recent}` as timestamp))") if recent else F.lit(None).cast("long")
     picked = rows.select(F.col(group).cast("long").alias("g"), F.col(item).cast("long").alias("i"), F.col(score).cast("double").alias("s"), F.coalesce(when, F.lit(_NONE)).alias("t"), *([F.col(latest_by).alias("p")] if latest_by else []))
     picked = picked.filter(F.col("g").isNotNull() & F.col("i").isNotNull() & F.col("s").isNotNull() & ~F.isnan("s"))
-    placed, count = bucketed(picked, "g", "i", file_rows)
-    placed = placed.repartition(count, "__bucket")
-    if latest_by:  # grouped by the bucket too, so the one shuffle serves both
+    rows = picked
+    if latest_by:  # repeats of a pair meet before the shuffle
         newest = F.max(F.struct("p", "s", "t"))
-        placed = placed.groupBy("__bucket", "g", "i").agg(newest.alias("r")).select("g", "i", "r.s", "r.t")
+        rows = picked.groupBy("g", "i").agg(newest.alias("r")).select("g", "i", "r.s", "r.t")
+    placed, count = bucketed(rows, picked, "g", "i", file_rows)
+    placed = placed.repartitionById(count, "__bucket")
     path = scratch_path(spark, "topn")
     ordered = placed.select("g", "s", "t", "i").sortWithinPartitions("g", F.desc("s"), F.desc("t"), "i")
     ordered.write.option("compression", "lz4").option("parquet.block.row.count.limit", row_group_rows).option("parquet.block.size", row_group_rows * 40).parquet(path)
