@@ -167,7 +167,7 @@ def communities(near: DataFrame, threshold: float, *, rounds: int = 6) -> DataFr
 def record_clusters(vectors: DataFrame, *, threshold: float = 0.5, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(members, near, classes)`` of sparse records ``vectors(doc_id, term, freq)``.
 
-    members(doc_id, cluster_id, community_id): every record with a usable entry; records linked (cosine of f at or above
+    members(doc_id, cluster_id, community_id): every record with a usable entry whose term isn't too common; records linked (cosine of f at or above
     ``threshold``), also through others, share a cluster, named by its smallest doc_id; a community is the part of it found by
     modularity, named by one of its records. Copies (equal vectors) are compared once and share both. Records found without a link are clusters of their own.
     Links are searched by neighbour descent, so a link may be missed; clusters are then put together from the links inside communities and those

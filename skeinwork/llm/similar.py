@@ -174,7 +174,7 @@ def similar_pairs(
     candidate is scored. ``queries(id)`` limits which vectors search; all are indexed.
     """
     lengths = F.aggregate("values", F.lit(0.0), lambda s, x: s + x * x)
-    good = cut(vectors.filter(F.col("id").isNotNull() & F.col("keys").isNotNull() & (lengths > 0)), "vectors")
+    good = cut(vectors.filter(F.col("id").isNotNull() & F.col("keys").isNotNull() & (lengths > 0)).select("id", "keys", "values"), "vectors")
     classes = cut(copy_classes(good), "classes")
     firsts = classes.filter(F.col("id") == F.col("class_id")).select("id")
     own = good.join(firsts, "id", "left_semi")
