@@ -57,9 +57,9 @@ def _fit(vectors: DataFrame, n: int, trees: int, depth: int) -> Forest:
     return Forest(rows.flatten().to_numpy().reshape(-1, trees * depth), trees, depth)
 
 
-def _visits(forest: Forest, visits: int, query: bool = True):
-    """Rows (bucket, id, own, sig): own for the leaves a vector lies in, else those it searches."""
-    schema = pa.schema([("bucket", pa.int64()), ("id", pa.int64()), ("own", pa.bool_()), ("sig", pa.binary())])
+def _visits(forest: Forest, visits: int):
+    """Rows (bucket, id, own, asks, sig): own for the leaves a vector lies in, else those it searches."""
+    schema = pa.schema([("bucket", pa.int64()), ("id", pa.int64()), ("own", pa.bool_()), ("asks", pa.bool_()), ("sig", pa.binary())])
     split = forest.trees * forest.depth
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +85,7 @@ def _visits(forest: Forest, visits: int, query: bool = True):
                     flags.append(np.zeros(len(r), bool))
                 rows = np.concatenate(rows)
                 sigs = pa.array([b.tobytes() for b in bits], pa.binary()).take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(buckets)), pa.array(ids[rows]), pa.array(np.concatenate(flags)), sigs], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(buckets)), pa.array(ids[rows]), pa.array(np.concatenate(flags)), pa.array(asks[rows]), sigs], schema=schema)
 
     return run
 
@@ -95,14 +95,14 @@ def _compare(cutoff: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     width = SIGNATURE_BITS // 64
 
-    def pairs(ids: np.ndarray, own: np.ndarray, sigs: np.ndarray, block: np.ndarray, both: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(ids: np.ndarray, own: np.ndarray, asks: np.ndarray, sigs: np.ndarray, block: np.ndarray, both: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         rows = np.flatnonzero(own)
         for start in range(0, len(rows), 256):
             part = rows[start : start + 256]
             apart = np.zeros((len(part), len(ids)), np.uint16)
             for w in range(width):
                 apart += np.bitwise_count(sigs[part, w, None] ^ sigs[None, :, w])
-            near = (apart <= cutoff) & (ids[part, None] != ids[None, :])
+            near = (apart <= cutoff) & (ids[part, None] != ids[None, :]) & (asks[part, None] | asks[None, :])
             if both:  # two different blocks: pairs inside one are another task's
                 near &= block[part, None] != block[None, :]
             r, c = np.nonzero(near)
@@ -114,12 +114,12 @@ def _compare(cutoff: int):
         def finish():
             columns = [np.concatenate(x) for x in zip(*held)]
             held.clear()
-            bucket, i, j, block, ids, own, sigs = columns
+            bucket, i, j, block, ids, own, asks, sigs = columns
             edges = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
             found = []
             for a, z in zip(np.r_[0, edges], np.r_[edges, len(ids)]):
                 if z - a > 1:
-                    found.extend(pairs(ids[a:z], own[a:z], sigs[a:z], block[a:z], i[a] != j[a]))
+                    found.extend(pairs(ids[a:z], own[a:z], asks[a:z], sigs[a:z], block[a:z], i[a] != j[a]))
             if found:
                 x, y = (np.concatenate(c) for c in zip(*found))
                 low, high = np.minimum(x, y), np.maximum(x, y)
@@ -132,7 +132,7 @@ def _compare(cutoff: int):
             if not batch.num_rows:
                 continue
             sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint64).reshape(-1, width)
-            now = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "i", "j", "block", "id", "own")) + (sigs,)
+            now = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "i", "j", "block", "id", "own", "asks")) + (sigs,)
             last = (now[0] == now[0][-1]) & (now[1] == now[1][-1]) & (now[2] == now[2][-1])
             start = int(np.argmax(last))  # the last bucket may go on in the next batch
             if start or (held and (held[-1][0][-1], held[-1][1][-1], held[-1][2][-1]) != (now[0][0], now[1][0], now[2][0])):
@@ -192,7 +192,7 @@ def similar_pairs(
     def visit(batches):
         yield from _visits(shipped.value, visits)(batches)
 
-    rows = cut(own.mapInArrow(visit, "bucket long, id long, own boolean, sig binary"), "visits")
+    rows = cut(own.mapInArrow(visit, "bucket long, id long, own boolean, asks boolean, sig binary"), "visits")
     large = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > leaf_block).select("bucket", F.ceil(F.col("n") / leaf_block).cast("int").alias("blocks"))
     large_count = large.count()  # at most rows / leaf_block
     zero = F.lit(0).cast("int")
@@ -207,7 +207,7 @@ def similar_pairs(
     if min_similarity is not None:
         share = np.arccos(np.clip(min_similarity, -1, 1)) / np.pi
         cutoff = int(np.ceil(SIGNATURE_BITS * share + SIGMAS * np.sqrt(SIGNATURE_BITS * share * (1 - share))))
-    laid = rows.select("bucket", "i", "j", "block", "id", "own", "sig").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    laid = rows.select("bucket", "i", "j", "block", "id", "own", "asks", "sig").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     candidates = cut(laid.mapInArrow(_compare(cutoff), "a long, b long").distinct(), "candidates")
     left = own.select(F.col("id").alias("a"), F.col("keys").alias("ka"), F.col("values").alias("va"))
     right = own.select(F.col("id").alias("b"), F.col("keys").alias("kb"), F.col("values").alias("vb"))
