@@ -39,36 +39,23 @@ def _block_top(queries: np.ndarray, names: np.ndarray, dense: np.ndarray, k: int
                 keys, values = batch.column("keys"), batch.column("values")
                 offsets = keys.offsets.to_numpy() - keys.offsets[0].as_py()
                 flat_keys, flat = keys.flatten().to_numpy(zero_copy_only=False), values.flatten().to_numpy(zero_copy_only=False)
-                row = np.repeat(np.arange(len(ids)), np.diff(offsets))
+                by_id = np.argsort(ids, kind="stable")
+                place = np.empty(len(ids), np.int64)
+                place[by_id] = np.arange(len(ids))
+                ids, row = ids[by_id], np.repeat(place, np.diff(offsets))
                 at = np.searchsorted(names, flat_keys)
                 known = np.flatnonzero((at < len(names)) & (names[np.minimum(at, len(names) - 1)] == flat_keys)) if len(names) else np.empty(0, int)
                 used, local = np.unique(at[known], return_inverse=True)
                 own = np.zeros((len(ids), len(used)))
                 own[row[known], local] = flat[known]
                 s = np.round(own @ dense[used], 12) + 0.0
-                # candidates of each query: all at or above its k-th similarity, then the k first by id
+                # of each query: all above its k-th similarity, and of those at it the first by id
                 keep = min(k, len(ids))
                 least = np.partition(s, len(ids) - keep, axis=0)[len(ids) - keep]
-                order = np.argsort(ids, kind="stable")
-                for q in range(len(queries)):
-                    mine = order[np.flatnonzero(s[order, q] >= least[q])]
-                    mine = mine[np.argsort(-s[mine, q], kind="stable")[:keep]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), queries[q])), pa.array(ids[mine]), pa.array(s[mine, q])], schema=schema)
-
-    return run
-
-
-def _blocked(make):
-    def run(batches):
-        held, rows = [], 0
-        for b in make(batches):
-            held.append(b)
-            rows += b.num_rows
-            if rows > 50_000:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held, rows = [], 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                above, level = s > least, s == least
+                wanted = above | (level & (np.cumsum(level, axis=0, dtype=np.int32) <= keep - above.sum(axis=0)))
+                q, r = np.nonzero(wanted.T)
+                yield pa.RecordBatch.from_arrays([pa.array(queries[q]), pa.array(ids[r]), pa.array(s[r, q])], schema=schema)
 
     return run
 
@@ -98,7 +85,7 @@ def top_similar(vectors: DataFrame, queries: DataFrame, k: int, *, cosine: bool
         shipped = vectors.sparkSession.sparkContext.broadcast((ids, names, dense))  # of at most block_cells cells
 
         def run(batches, shipped=shipped):
-            yield from _blocked(_block_top(*shipped.value, k))(batches)
+            yield from _block_top(*shipped.value, k)(batches)
 
         one = vectors.mapInArrow(run, "query long, id long, s double")
         found = one if found is None else found.unionByName(one)

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, tokens
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, cut
 
 #: Features kept of a corpus by default.
 VOCABULARY = 4000
@@ -41,25 +41,26 @@ def top_vocabulary(counts: DataFrame, by: str = "ctf", size: int = VOCABULARY) -
 
 
 def encode(words: DataFrame, dictionary: DataFrame, size: int = VOCABULARY) -> DataFrame:
-    """``(doc_id, idx)`` of the tokens in the dictionary; others are dropped."""
-    return words.join(broadcast_if_small(dictionary, size, 48), "token").select("doc_id", "idx")
+    """The rows of ``words`` whose token is in the dictionary, with its ``idx`` in place of the token."""
+    return words.join(broadcast_if_small(dictionary, size, 48), "token").drop("token")
 
 
-def features(words: DataFrame, dictionary: DataFrame, *, docs: DataFrame | None = None, bias: bool = True, size: int = VOCABULARY) -> DataFrame:
-    """``(doc_id, idx, val)``: counts by feature, index 0 being the bias 1 of every document of ``docs``, others token index + 1."""
-    counts = encode(words, dictionary, size).groupBy("doc_id", (F.col("idx") + 1).alias("idx")).agg(F.count(F.lit(1)).cast("double").alias("val"))
+def features(tf: DataFrame, dictionary: DataFrame, *, docs: DataFrame | None = None, bias: bool = True, size: int = VOCABULARY) -> DataFrame:
+    """``(doc_id, idx, val)`` of ``tf(doc_id, token, tf)``: counts by feature, index 0 being the bias 1 of every document of ``docs``, others token index + 1."""
+    counts = encode(tf, dictionary, size).select("doc_id", (F.col("idx") + 1).alias("idx"), F.col("tf").cast("double").alias("val"))
     if not bias:
         return counts
-    of = (docs if docs is not None else words).select("doc_id").distinct()
+    of = (docs if docs is not None else tf).select("doc_id").distinct()
     return counts.unionByName(of.select("doc_id", F.lit(0).alias("idx"), F.lit(1.0).alias("val")))
 
 
 def tfidf(tf: DataFrame, *, term: str = "token", by: str = "df", floor: bool = False, n_docs: int | None = None) -> DataFrame:
     """``(doc_id, term, weight)``: tf * ln(N / x + 1), x being the term's df or ctf (``by``); ``floor`` rounds N / x down first.
 
-    N is the number of records in ``tf`` unless given.
+    N is the number of records in ``tf`` unless given; ``tf`` is then written once, since it is read three times.
     """
     if n_docs is None:
+        tf = cut(tf, "tf")
         n_docs = tf.agg(F.count_distinct("doc_id")).first()[0]
     counts = vocabulary_counts(tf, term)
     ratio = F.lit(float(n_docs)) / F.col(by)

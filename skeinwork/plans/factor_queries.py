@@ -62,8 +62,21 @@ def _ndcg(spark, folder):
     return M.ndcg(rows)
 
 
+def _sweep(spark, folder):
+    """Error after the steps for several numbers of factors."""
+    r, out = cut(ratings(spark, folder), "ratings"), None
+    for d in SWEEP:
+        u, v = P.descend(r, P.hashed_factors(r, "user_id", "u", d), P.hashed_factors(r, "item_id", "v", d), d, rate=RATE, penalty=PENALTY, iterations=STEPS, precision=None)
+        scored = P.predict(r.filter("user_id % 20 = 0").select("user_id", "item_id", "score"), u, v, d)
+        one = _rounded(M.rmse(scored, "predicted", "score").select(F.lit(d).alias("factors"), "rmse"), "rmse")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+SWEEP = (2, 5, 10)
 CUTS = ["ndcg_10", "ndcg_20", "ndcg_30"]
 QUERIES = {
+    "factor_sweep": _sweep,
     "pmf_step": _factors("v", 1),
     "pmf_iter3_users": _factors("u", STEPS),
     "pmf_iter3_items": _factors("v", STEPS),
@@ -80,21 +93,27 @@ QUERIES = {
 }
 
 _F = range(D)
-_DOT = " + ".join(f"u{k} * v{k}" for k in _F)
 
 
-def _init(key: str, p: str) -> str:
-    return f"SELECT {key}, " + ", ".join(f"(({key} * 7919 + {k * 104729}) % 1000) / 1000.0::DOUBLE - 0.5::DOUBLE AS {p}{k}" for k in _F) + f" FROM (SELECT DISTINCT {key} FROM r)"
+def _dot(d: int) -> str:
+    return " + ".join(f"u{k} * v{k}" for k in range(d))
 
 
-def _steps_sql(n: int) -> str:
-    s = [f"WITH {RATINGS_SQL}", f"ua AS MATERIALIZED ({_init('user_id', 'u')})", f"va AS MATERIALIZED ({_init('item_id', 'v')})"]
+_DOT = _dot(D)
+
+
+def _init(key: str, p: str, d: int = D) -> str:
+    return f"SELECT {key}, " + ", ".join(f"(({key} * 7919 + {k * 104729}) % 1000) / 1000.0::DOUBLE - 0.5::DOUBLE AS {p}{k}" for k in range(d)) + f" FROM (SELECT DISTINCT {key} FROM r)"
+
+
+def _steps_sql(n: int, d: int = D) -> str:
+    s = [f"WITH {RATINGS_SQL}", f"ua AS MATERIALIZED ({_init('user_id', 'u', d)})", f"va AS MATERIALIZED ({_init('item_id', 'v', d)})"]
     u, v = "ua", "va"
     for i in range(n):
-        s.append(f"e{i} AS MATERIALIZED (SELECT *, x - ({_DOT}) AS e FROM r JOIN {u} USING (user_id) JOIN {v} USING (item_id))")
+        s.append(f"e{i} AS MATERIALIZED (SELECT *, x - ({_dot(d)}) AS e FROM r JOIN {u} USING (user_id) JOIN {v} USING (item_id))")
         for key, p, o, old in (("user_id", "u", "v", u), ("item_id", "v", "u", v)):
-            sums = ", ".join(f"sum(e * {o}{k}) AS g{k}" for k in _F)
-            new = ", ".join(f"{p}{k} - {RATE}::DOUBLE * (2 * {PENALTY}::DOUBLE * {p}{k} - 2 * g{k}) AS {p}{k}" for k in _F)
+            sums = ", ".join(f"sum(e * {o}{k}) AS g{k}" for k in range(d))
+            new = ", ".join(f"{p}{k} - {RATE}::DOUBLE * (2 * {PENALTY}::DOUBLE * {p}{k} - 2 * g{k}) AS {p}{k}" for k in range(d))
             s.append(f"{p}{i} AS MATERIALIZED (SELECT {key}, {new} FROM {old} JOIN (SELECT {key}, {sums} FROM e{i} GROUP BY {key}) USING ({key}))")
         u, v = f"u{i}", f"v{i}"
     s.append(f"uz AS (SELECT * FROM {u})")
@@ -113,6 +132,7 @@ _NDCG = _WINS + ", o AS (SELECT user_id, 2 ** score - 1 AS g, row_number() OVER
 _PAIRS = f"f AS (SELECT h.user_id, h.item_id AS hi, l.item_id AS lo FROM r h JOIN r l ON h.user_id = l.user_id AND h.score - l.score = 4)"
 
 SQL = {
+    "factor_sweep": " UNION ALL ".join(f"(SELECT * FROM ({_steps_sql(STEPS, d)} SELECT {d} AS factors, round(sqrt(avg(({_dot(d)} + 3 - score) ** 2)), 6) AS rmse FROM r JOIN uz USING (user_id) JOIN vz USING (item_id) WHERE user_id % 20 = 0))" for d in SWEEP),
     "pmf_step": _steps_sql(1) + _out("item_id", "v"),
     "pmf_iter3_users": _steps_sql(STEPS) + _out("user_id", "u"),
     "pmf_iter3_items": _steps_sql(STEPS) + _out("item_id", "v"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import knn as K
+from ..operators import metrics as M
 from ..operators import ratings as R
 from ..session import cut, table
 
@@ -70,7 +71,22 @@ def _scores(by: str, cosine: bool, standardise: bool = False):
     return query
 
 
+SWEEP = (10, 100, 500)
+
+
+def _sweep(spark, folder):
+    r, _, top = _top(spark, folder, "user", True, k=max(SWEEP) + 1)
+    top, pairs, out = cut(top, "top"), r.filter("user_id % 20 = 0").select("user_id", "item_id", "score"), None
+    for k in SWEEP:
+        scored = K.predict(top.filter(F.col("rank") <= k + 1), r, pairs, k).join(pairs, ["user_id", "item_id"])
+        one = M.rmse(scored, "average", "score").withColumnRenamed("rmse", "rmse_average").join(F.broadcast(M.rmse(scored, "weighted", "score").withColumnRenamed("rmse", "rmse_weighted")))  # one row each
+        one = _rounded(one.select(F.lit(k).alias("k"), "rmse_average", "rmse_weighted"), "rmse_average", "rmse_weighted")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 QUERIES = {
+    "knn_sweep": _sweep,
     "rating_stats": _stats,
     "rating_user_norm": _unit(lambda r: R.normalised(r, "user_id")),
     "rating_item_norm": _unit(lambda r: R.normalised(r, "item_id")),
@@ -122,6 +138,14 @@ def _scores_sql(by: str, t: str, v: str) -> str:
 SELECT user_id, item_id, round(CASE WHEN m > 0 THEN a / {NEAR} ELSE b END + 3, 6) AS average, round(CASE WHEN m > 0 THEN w / m ELSE b END + 3, 6) AS weighted FROM y JOIN b USING ({other})"""
 
 
+def _sweep_sql() -> str:
+    parts = []
+    for k in SWEEP:
+        parts.append(f"""SELECT {k} AS k, round(sqrt(avg((CASE WHEN m > 0 THEN a / {k} ELSE b END + 3 - score) ** 2)), 6) AS rmse_average, round(sqrt(avg((CASE WHEN m > 0 THEN w / m ELSE b END + 3 - score) ** 2)), 6) AS rmse_weighted
+FROM (SELECT p.user_id, p.item_id, any_value(p.score) AS score, sum(coalesce(x.x, 0)) AS a, sum(s * coalesce(x.x, 0)) AS w, sum(abs(s)) AS m FROM r p JOIN top ON query = p.user_id AND id <> query AND rank <= {k + 1} LEFT JOIN r x ON x.user_id = id AND x.item_id = p.item_id WHERE p.user_id % 20 = 0 GROUP BY ALL) JOIN b USING (item_id)""")
+    return f"{_R}, {_unit_sql('user_id')}, {_top_sql('user', 'u', 'unit', max(SWEEP) + 1)}, b AS (SELECT item_id, sum(x) / ((SELECT count(DISTINCT user_id) FROM r) - 1) AS b FROM r GROUP BY item_id) " + " UNION ALL ".join(parts)
+
+
 def _figures_sql(prefix: str, condition: str, with_counts: bool) -> str:
     f = [f"count(*) FILTER ({condition} AND score = {k}) AS {prefix}_rated_{k}" for k in (1, 3, 5)]
     f += [f"count(*) FILTER ({condition}) AS {prefix}_ratings"] if with_counts else []
@@ -129,6 +153,7 @@ def _figures_sql(prefix: str, condition: str, with_counts: bool) -> str:
 
 
 SQL = {
+    "knn_sweep": _sweep_sql(),
     "rating_stats": f"{_R} SELECT count(DISTINCT item_id) AS items, count(DISTINCT user_id) AS users, {_figures_sql('all', 'true', False)}, {_figures_sql('user', f'user_id = {USER}', True)}, {_figures_sql('item', f'item_id = {ITEM}', True)} FROM r",
     "rating_user_norm": f"{_R}, {_unit_sql('user_id')} SELECT user_id, item_id, round(unit, 6) AS unit FROM u",
     "rating_item_norm": f"{_R}, {_unit_sql('item_id')} SELECT user_id, item_id, round(unit, 6) AS unit FROM u",

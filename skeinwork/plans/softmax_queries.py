@@ -20,9 +20,8 @@ FEATURES = T.VOCABULARY + 1
 
 def _rows(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").filter("stars BETWEEN 1 AND 5")
-    words = cut(T.tokenize(docs), "words")
-    dictionary = T.top_vocabulary(T.vocabulary_counts(T.term_frequency(words)), "ctf")
-    return cut(S.rows_of(T.features(words, dictionary, docs=docs), docs.select("doc_id", (F.col("stars") - 1).alias("label"))), "rows")
+    tf = cut(T.term_frequency(T.tokenize(docs)), "tf")
+    return cut(S.rows_of(T.features(tf, T.top_vocabulary(T.vocabulary_counts(tf), "ctf"), docs=docs), docs.select("doc_id", (F.col("stars") - 1).alias("label"))), "rows")
 
 
 def _fitted(spark, folder, steps: int = STEPS, penalty: float = PENALTY):

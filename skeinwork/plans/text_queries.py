@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, tokens_sql
 from ..operators import text as T
-from ..session import table
+from ..session import cut, table
 
 
 def _words(spark: SparkSession, folder: str, stop_words=STOP_WORDS) -> DataFrame:
@@ -27,9 +27,8 @@ def _rounded(df: DataFrame, column: str = "weight") -> DataFrame:
 
 
 def _features(spark, folder):
-    words = _words(spark, folder)
-    dictionary = T.top_vocabulary(T.vocabulary_counts(T.term_frequency(words)), "ctf")
-    return T.features(words, dictionary, docs=table(spark, folder, "documents"))
+    tf = cut(_tf(spark, folder), "tf")
+    return T.features(tf, T.top_vocabulary(T.vocabulary_counts(tf), "ctf"), docs=table(spark, folder, "documents"))
 
 
 QUERIES = {
