@@ -14,12 +14,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, local_path, shared_folder
+from ..session import cut, local_path, parallelism, shared_folder
 
-#: Bytes of partials one DuckDB instance may be given, its memory, and the hash bits a level looks at.
+#: Bytes of partials one DuckDB instance may be given, its memory, the most hash bits of the first level, and those of a split.
 CELL_BYTES = 96 << 20
 DUCKDB_MB = 384
-LEVEL_BITS = 10
+MOST_BITS, SPLIT_BITS = 20, 4
 
 PARTIAL = "fieldname string, term string, total long, records long"
 _ARROW = pa.schema([("fieldname", pa.string()), ("term", pa.string()), ("total", pa.int64()), ("records", pa.int64())])
@@ -29,34 +29,40 @@ def _cell(hash_: Column, bits: int) -> Column:
     return F.shiftrightunsigned(hash_, 64 - bits) if bits else F.lit(0).cast("long")
 
 
-def plan_cells(table: DataFrame, limit: int) -> tuple[int, list[tuple[int, list[int]]]]:
-    """``(bits, splits)``: the first level's bits, and for each further level its bits and the cells it splits."""
+def plan_cells(table: DataFrame, limit: int, least: int = 1) -> tuple[int, list[tuple[int, list[int]]]]:
+    """``(bits, splits)``: the first level's bits, and for each further level its depth and the cells it splits.
+
+    The first level alone would do if hashes carried equal weight; only the cells above the limit come to the driver.
+    """
     weight = F.sum(F.coalesce(F.length("term"), F.lit(0)) + 40)
-    by = {r["c"]: r["w"] for r in table.groupBy(_cell(F.col("h"), LEVEL_BITS).alias("c")).agg(weight.alias("w")).collect()}
-    total = sum(by.values())
-    bits = min(LEVEL_BITS, max(0, math.ceil(math.log2(max(total / limit, 1)) + 0.5)))
-    sizes: dict[int, int] = {}
-    for c, w in by.items():
-        sizes[c >> (LEVEL_BITS - bits)] = sizes.get(c >> (LEVEL_BITS - bits), 0) + w
+    total = table.agg(weight).first()[0] or 0
+    limit = min(limit, max(1 << 20, total // least)) if least > 1 else limit
+    bits = min(MOST_BITS, max(0, math.ceil(math.log2(max(total / limit, 1)) + 0.5)))
     splits: list[tuple[int, list[int]]] = []
-    depth, over = bits, sorted(c for c, w in sizes.items() if w > limit)
+
+    def above(rows: DataFrame, depth: int) -> list[int]:
+        sizes = rows.groupBy(_cell(F.col("h"), depth).alias("c")).agg(weight.alias("w"), F.min("h").alias("a"), F.max("h").alias("z"))
+        return sorted(r["c"] for r in sizes.filter((F.col("w") > limit) & (F.col("a") < F.col("z"))).select("c").collect())
+
+    depth, over = bits, above(table, bits)
     while over and depth < 64:
-        step = min(4, 64 - depth)
         splits.append((depth, over))
         inner = table.filter(_cell(F.col("h"), depth).isin(over))
-        more = inner.groupBy(_cell(F.col("h"), depth + step).alias("c")).agg(weight.alias("w"), F.count_distinct("h").alias("d"))
-        depth, over = depth + step, sorted(r["c"] for r in more.filter((F.col("w") > limit) & (F.col("d") > 1)).collect())
+        depth = min(64, depth + SPLIT_BITS)
+        over = above(inner, depth)
     return bits, splits
 
 
 def _partition(hash_: Column, bits: int, splits: list[tuple[int, list[int]]]) -> tuple[Column, int]:
-    """The number of a row's cell, in hash order by level, and how many numbers there are."""
+    """The number of a row's cell and how many numbers there are: those of the first level, then those made by splits."""
     place, count = _cell(hash_, bits), 1 << bits
     for depth, cells in splits:
+        step = min(64, depth + SPLIT_BITS) - depth
+        inner = _cell(hash_, depth + step).bitwiseAND(F.lit((1 << step) - 1))
         parent = _cell(hash_, depth)
         for c in cells:
-            place = F.when(parent == c, F.lit(count) + _cell(hash_, depth + 4).bitwiseAND(F.lit(15))).otherwise(place)
-            count += 16
+            place = F.when(parent == c, F.lit(count) + inner).otherwise(place)
+            count += 1 << step
     return place.cast("int"), count
 
 
@@ -97,7 +103,7 @@ def radix_counts(partials: DataFrame, *, cell_bytes: int = CELL_BYTES, memory_mb
     """``(fieldname, term, total, records)`` summed over ``partials`` of the same columns; a null term is a key like any other."""
     spark = partials.sparkSession
     table = cut(partials.withColumn("h", F.xxhash64("fieldname", "term")), "radix")
-    bits, splits = plan_cells(table, cell_bytes)
+    bits, splits = plan_cells(table, cell_bytes, parallelism(spark))
     place, count = _partition(F.col("h"), bits, splits)
     folder = local_path(shared_folder(spark))
     placed = table.select("fieldname", "term", "total", "records", place.alias("__cell")).repartitionById(count, "__cell")
