@@ -15,6 +15,16 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 64 << 20
 
 _own_folder: str | None = None
+_written: list[str] = []
+
+
+def _clean_up() -> None:
+    """At the end of the process, deletes the tables written to a local shared folder."""
+    for path in filter(None, map(local_path, _written)):
+        shutil.rmtree(path, ignore_errors=True)
+
+
+atexit.register(_clean_up)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,7 +42,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/skeinwork/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/skeinwork/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
 
 
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
@@ -53,6 +65,7 @@ def drop_cut(table: DataFrame | None) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _written.remove(path)
 
 
 def local_path(uri: str) -> str | None:
