@@ -131,37 +131,50 @@ def neighbour_descent(records: DataFrame, threshold: float, *, keep: int = NEIGH
     return near.select("a", "b", "s"), cut(same.distinct(), "same")
 
 
-def communities(near: DataFrame, threshold: float, *, rounds: int = 6) -> DataFrame:
-    """``(id, community)``: records moved, round by round, to the community of a linked neighbour that gains most modularity.
-
-    Links are the neighbours at or above ``threshold``, weighted by similarity, in both directions. Half of the records, by hash, may
-    move in a round, so that two don't swap for ever; ties go to the smaller community, and a move needs a gain. Ends when nothing moves.
-    """
-    links = near.filter(F.col("s") >= threshold - 1e-12).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s").groupBy("a", "b").agg(F.max("s").alias("s"))
-    both = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "s")), "graph")
-    degree = cut(both.groupBy("a").agg(F.sum("s").alias("d")), "degrees")
-    total = degree.agg(F.sum("d")).first()[0] or 1.0
-    label = degree.select(F.col("a").alias("id"), "d", F.col("a").alias("c"))
-    previous = None
+def _move(both: DataFrame, degree: DataFrame, total: float, rounds: int) -> tuple[DataFrame, int]:
+    """``(id, d, c)`` after rounds of moves of single nodes, and how many moves there were. ``both(a, b, s)`` has each link both ways, ``degree(id, d)`` all weight of a node."""
+    label, moves = degree.select("id", "d", F.col("id").alias("c")), 0
     for r in range(rounds):
         mass = label.groupBy("c").agg(F.sum("d").alias("mass"))
         towards = both.join(label.select(F.col("id").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("s").alias("w")).withColumnRenamed("a", "id")
         offers = towards.join(mass, "c").join(label.select("id", "d", F.col("c").alias("own")), "id")
         rest = F.col("mass") - F.when(F.col("c") == F.col("own"), F.col("d")).otherwise(0.0)
-        gain = F.round(F.col("w") - F.col("d") * rest / F.lit(total), 9)
-        scored = offers.select("id", "c", "own", gain.alias("gain"))
+        scored = offers.select("id", "c", "own", F.round(F.col("w") - F.col("d") * rest / F.lit(total), 9).alias("gain"))
         pick = scored.groupBy("id").agg(F.max_by("c", F.struct("gain", -F.col("c"))).alias("to"), F.max("gain").alias("best"), F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("stay"))
-        may = F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0 if r else F.lit(True)
-        own_gain = F.coalesce("stay", F.lit(0.0))
-        moved = label.join(pick, "id", "left").withColumn("go", F.coalesce(may & (F.col("best") > own_gain), F.lit(False)))
-        if not r:  # all start alone: only upward moves would swap pairs
-            moved = moved.withColumn("go", F.col("go") & (F.col("to") < F.col("c")))
-        label = cut(moved.select("id", "d", F.when(F.col("go"), F.col("to")).otherwise(F.col("c")).alias("c"), "go"), "labels")
+        # alone, a node has gain 0; in the first round all are alone, and only moves to a smaller community can't swap a pair
+        stay = F.coalesce("stay", F.lit(0.0))
+        may = (F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0) if r else F.col("to") < F.col("c")
+        moved = label.join(pick, "id", "left").withColumn("go", F.coalesce(may & (F.col("best") > stay), F.lit(False)))
+        before, label = label, cut(moved.select("id", "d", F.when(F.col("go"), F.col("to")).otherwise(F.col("c")).alias("c"), "go"), "moves")
+        drop_cut(before)
         changed = label.filter("go").count()
-        label = label.drop("go")
+        moves += changed
         if not changed and r:
             break
-    return label.select("id", F.col("c").alias("community"))
+    return label, moves
+
+
+def communities(near: DataFrame, threshold: float, *, rounds: int = 6, levels: int = 3) -> DataFrame:
+    """``(id, community)``: records moved, round by round, to the community of a linked neighbour that gains most modularity; then communities likewise, as nodes.
+
+    Links are the neighbours at or above ``threshold``, weighted by similarity. Half of the nodes, by hash, may
+    move in a round, so that two don't swap for ever; ties go to the smaller community, and a move needs a gain. A level ends when nothing moves, the whole when a level moves nothing.
+    """
+    links = near.filter(F.col("s") >= threshold - 1e-12).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s").groupBy("a", "b").agg(F.max("s").alias("s"))
+    both = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "s")), "graph")
+    degree = cut(both.groupBy(F.col("a").alias("id")).agg(F.sum("s").alias("d")), "degrees")
+    total = degree.agg(F.sum("d")).first()[0] or 1.0
+    where = degree.select("id", F.col("id").alias("community"))
+    for _ in range(levels):
+        label, moves = _move(both, degree, total, rounds)
+        if not moves:
+            break
+        of = label.select(F.col("id").alias("community"), F.col("c").alias("next"))
+        where = cut(where.join(of, "community").select("id", F.col("next").alias("community")), "communities")
+        ends = both.join(label.select(F.col("id").alias("a"), F.col("c").alias("x")), "a").join(label.select(F.col("id").alias("b"), F.col("c").alias("y")), "b")
+        both = cut(ends.filter("x <> y").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("s").alias("s")), "graph")
+        degree = cut(label.groupBy(F.col("c").alias("id")).agg(F.sum("d").alias("d")), "degrees")
+    return where
 
 
 def record_clusters(vectors: DataFrame, *, threshold: float = 0.5, **options) -> tuple[DataFrame, DataFrame, DataFrame]:

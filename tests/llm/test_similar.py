@@ -149,6 +149,25 @@ def test_clusters(spark):
     assert all(r["size"] == sizes[r["community_id"]] >= 2 and 1 <= len(r["typical"]) <= 3 for r in rows)
 
 
+def modularity(links, label):
+    total = 2 * sum(s for _, _, s in links)
+    mass = {}
+    for a, b, s in links:
+        for x in (a, b):
+            mass[label[x]] = mass.get(label[x], 0) + s
+    return sum(2 * s for a, b, s in links if label[a] == label[b]) / total - sum(m * m for m in mass.values()) / total**2
+
+
+def test_communities(spark):
+    cliques = [(base + i, base + j, 0.9) for base, n in ((0, 8), (10, 8), (20, 12)) for i in range(n) for j in range(i + 1, n)] + [(0, 10, 0.5), (11, 21, 0.55)]
+    label = {r["id"]: r["community"] for r in clusters.communities(spark.createDataFrame(cliques, "a long, b long, s double"), 0.5).collect()}
+    assert {frozenset(k for k in label if label[k] == c) for c in label.values()} == {frozenset(range(8)), frozenset(range(10, 18)), frozenset(range(20, 32))}
+    ring = [(k, (k + 1) % 40, 0.6) for k in range(40)] + [(3, 9, 0.2)]
+    label = {r["id"]: r["community"] for r in clusters.communities(spark.createDataFrame(ring, "a long, b long, s double"), 0.5).collect()}
+    assert modularity(ring[:-1], label) > 0.6  # the best has 0.68, pairs have 0.45
+    assert clusters.communities(spark.createDataFrame([], "a long, b long, s double"), 0.5).count() == 0
+
+
 def test_cluster_dirt(spark):
     rows = [(1, 0, 5, 2, "x", 1.0), (1, 0, 5, 2, "x", 1.0), (2, 0, None, 1, "x", 1.0), (3, 0, 6, 0, "x", 1.0), (None, 0, 6, 1, "x", 1.0), (4, None, 7, None, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, pos int, term int, freq int, id string, s double")
