@@ -70,8 +70,8 @@ def chunked_fold(
     return folded.groupBy(*keys).agg(*(c.alias(name) for name, c in merges.items()))
 
 
-def heavy_keys(df: DataFrame, kinds: Sequence[str], *, least_share: float = 0.01, chunk_rows: int | None = None) -> DataFrame:
-    """``(key_kind, key_id, n)``: for each column of ``kinds``, its values above 0 held by at least ``least_share`` of the distinct rows.
+def heavy_keys(df: DataFrame, kinds: Sequence[str], *, one_in: int = 100, chunk_rows: int | None = None) -> DataFrame:
+    """``(key_kind, key_id, n)``: for each column of ``kinds``, its values above 0 held by at least one in ``one_in`` of the distinct rows, in exact integers.
 
     A repeated row counts once; rows with a null key or odd values count in the total only. An empty table gives no row.
     """
@@ -80,7 +80,7 @@ def heavy_keys(df: DataFrame, kinds: Sequence[str], *, least_share: float = 0.01
     found = None
     for kind in kinds:
         n = chunked_fold(distinct.select(F.col(kind).alias("key_id")), "key_id", {"n": F.count(F.lit(1))}, {"n": F.sum("n")}, chunk_rows=chunk_rows)
-        one = n.filter((F.col("key_id") > 0) & (F.col("n") >= F.lit(least_share * total))).select(F.lit(kind).alias("key_kind"), F.col("key_id").cast("long").alias("key_id"), "n")
+        one = n.filter((F.col("key_id") > 0) & (F.col("n") * one_in >= F.lit(total))).select(F.lit(kind).alias("key_kind"), F.col("key_id").cast("long").alias("key_id"), "n")
         found = one if found is None else found.unionByName(one)
     return found
 

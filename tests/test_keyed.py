@@ -37,6 +37,8 @@ def test_heavy_keys_dirt(spark):
     found = {(r["key_kind"], r["key_id"]): r["n"] for r in heavy_keys(log(spark, rows), ["movieid", "userid"], chunk_rows=20).collect()}
     assert found == {("movieid", 5): 150}
     assert heavy_keys(log(spark, []), ["movieid", "userid"]).count() == 0
+    exact = [(k, 1 if k < 7 else 1000 + k, 0, 1.0, "x") for k in range(700)]  # 7 is one in 100 of 700
+    assert [r["key_id"] for r in heavy_keys(log(spark, exact), ["movieid"]).collect()] == [1]
 
 
 def test_profile_merges_boundaries(spark):
