@@ -40,6 +40,16 @@ class _Shapes(dict):
         return packed
 
 
+_shapes: list[_Shapes] = []
+
+
+def shapes_of(encoder: Encoder) -> _Shapes:
+    """The shapes of an encoder's pre-tokens; kept for the process, as the encoder is."""
+    if not _shapes or _shapes[0].encoder is not encoder:
+        _shapes[:] = [_Shapes(encoder)]
+    return _shapes[0]
+
+
 def boundary_strengths(flags: np.ndarray) -> np.ndarray:
     """Strength of the boundary before each pre-token; the one before the first is PARAGRAPH.
 
@@ -118,9 +128,19 @@ def _atoms(encoder: Encoder, piece: str, room: int) -> list[int]:
     return counts
 
 
-def piece_bounds(encoder: Encoder, shapes: _Shapes, text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
-    """``(start, end)`` in tokens of the text's pieces; each but the first starts ``overlap`` tokens before the end of the one before."""
-    pieces = encoder.split(text)
+def surely_fits(encoder: Encoder, pieces: list[str], limit: int) -> bool:
+    """Whether the tokens can't exceed ``limit``: pre-tokens encoded before count as they are, others by their bytes, since a token has one at least."""
+    most = 0
+    for piece in pieces:
+        known = encoder.get(piece)
+        most += len(piece.encode()) if known is None else len(known) >> 2
+        if most > limit:
+            return False
+    return True
+
+
+def piece_bounds(encoder: Encoder, shapes: _Shapes, pieces: list[str], limit: int, overlap: int) -> list[tuple[int, int]]:
+    """``(start, end)`` in tokens of the pieces of a text given by its pre-tokens; each but the first starts ``overlap`` tokens before the end of the one before."""
     packed = np.fromiter(map(shapes.__getitem__, pieces), np.int64, len(pieces))
     sizes, flags = packed >> 8, packed & 255
     total = int(sizes.sum())
@@ -158,14 +178,17 @@ def split_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(shipped.value)
-        shapes = _Shapes(encoder)
+        shapes = shapes_of(encoder)
         bytes_of = encoder.transducer.bytes_of
         for batch in batches:
             out: list[list] = [[] for _ in schema]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if not text:
                     continue
-                bounds = piece_bounds(encoder, shapes, text, limit, overlap)
+                pieces = encoder.split(text)
+                if only_split and surely_fits(encoder, pieces, limit):
+                    continue
+                bounds = piece_bounds(encoder, shapes, pieces, limit, overlap)
                 if only_split and len(bounds) == 1:
                     continue
                 ids = encoder.encode(text).tolist() if with_text and len(bounds) > 1 else None

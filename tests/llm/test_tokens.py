@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from skeinwork.llm.bpe import VOCABULARY, StreamDecoder, Transducer, decode, encode, encoder_of, load_ranks, read_vocabulary
-from skeinwork.llm.split import PARAGRAPH, SENTENCE, WORD, _Shapes, merge_segments, piece_bounds, split_texts
+from skeinwork.llm.split import PARAGRAPH, SENTENCE, WORD, _Shapes, merge_segments, piece_bounds, split_texts, surely_fits
 
 import numpy as np
 
@@ -147,5 +147,6 @@ def test_boundaries():
 def test_exact_limit():
     shapes = _Shapes(ENCODER)
     text = " cat" * 1024
-    assert piece_bounds(ENCODER, shapes, text, 1024, 64) == [(0, 1024)]
-    assert len(piece_bounds(ENCODER, shapes, text + " cat", 1024, 64)) == 2
+    assert piece_bounds(ENCODER, shapes, ENCODER.split(text), 1024, 64) == [(0, 1024)]
+    assert len(piece_bounds(ENCODER, shapes, ENCODER.split(text + " cat"), 1024, 64)) == 2
+    assert surely_fits(ENCODER, ENCODER.split(text), 1024) and not surely_fits(ENCODER, ENCODER.split(text + " cat"), 1024)
