@@ -154,7 +154,7 @@ def _move(both: DataFrame, degree: DataFrame, total: float, rounds: int) -> tupl
     return label, moves
 
 
-def communities(near: DataFrame, threshold: float, *, rounds: int = 6, levels: int = 3) -> DataFrame:
+def communities(near: DataFrame, threshold: float, *, rounds: int = 4, levels: int = 2) -> DataFrame:
     """``(id, community)``: records moved, round by round, to the community of a linked neighbour that gains most modularity; then communities likewise, as nodes.
 
     Links are the neighbours at or above ``threshold``, weighted by similarity. Half of the nodes, by hash, may
