@@ -1,4 +1,7 @@
-"""Queries on matrix factors, pair samples, pairwise wins and rank measures. Predicted pairs are those of users divisible by 20."""
+"""Queries on matrix factors, pair samples, pairwise wins and rank measures.
+
+Queries named ``_all`` predict, rank and evaluate every rating; those of the same name without it hold a part, the users divisible by 20.
+"""
 
 from __future__ import annotations
 
@@ -42,9 +45,13 @@ def _objective(spark, folder):
     return P.objective(r, u, v, D, penalty=PENALTY).withColumn("objective", F.round("objective", 3))
 
 
-def _predict(spark, folder):
+def _pairs(r: DataFrame, everyone: bool) -> DataFrame:
+    return (r if everyone else r.filter("user_id % 20 = 0")).select("user_id", "item_id", "score")
+
+
+def _predict(spark, folder, everyone: bool = False):
     r, u, v = _fitted(spark, folder)
-    return P.predict(r.filter("user_id % 20 = 0").select("user_id", "item_id", "score"), u, v, D)
+    return P.predict(_pairs(r, everyone), u, v, D)
 
 
 def _pair_features(spark, folder):
@@ -52,44 +59,64 @@ def _pair_features(spark, folder):
     return _rounded(L.pair_samples(r, u, v, D), *(f"x{k}" for k in range(D)))
 
 
-def _wins(spark, folder):
+def _wins(spark, folder, everyone: bool = False):
     r, u, v = _start(spark, folder)
-    return L.pairwise_wins(r.filter("user_id % 20 = 0").select("user_id", "item_id", "score"), u, v, COEFFICIENTS)
+    return L.pairwise_wins(_pairs(r, everyone), u, v, COEFFICIENTS)
 
 
-def _ndcg(spark, folder):
-    rows = _wins(spark, folder).select("user_id", F.col("item_id").alias("pos"), F.col("wins").alias("predicted"), F.col("score").alias("actual"))
+def _ndcg(spark, folder, everyone: bool = False):
+    rows = _wins(spark, folder, everyone).select("user_id", F.col("item_id").alias("pos"), F.col("wins").alias("predicted"), F.col("score").alias("actual"))
     return M.ndcg(rows)
 
 
-def _sweep(spark, folder):
+def _rmse(predicted: DataFrame) -> DataFrame:
+    return _rounded(M.rmse(predicted, "predicted", "score"), "rmse")
+
+
+def _accuracy(predicted: DataFrame) -> DataFrame:
+    return _rounded(M.accuracy(predicted.withColumn("predicted", F.round(F.round("predicted", 9))), "predicted", "score"), "accuracy")
+
+
+def _sweep(factors: tuple[int, ...], everyone: bool = False):
     """Error after the steps for several numbers of factors."""
-    r, out = cut(ratings(spark, folder), "ratings"), None
-    for d in SWEEP:
-        u, v = P.descend(r, P.hashed_factors(r, "user_id", "u", d), P.hashed_factors(r, "item_id", "v", d), d, rate=RATE, penalty=PENALTY, iterations=STEPS, precision=None)
-        scored = P.predict(r.filter("user_id % 20 = 0").select("user_id", "item_id", "score"), u, v, d)
-        one = _rounded(M.rmse(scored, "predicted", "score").select(F.lit(d).alias("factors"), "rmse"), "rmse")
-        out = one if out is None else out.unionByName(one)
-    return out
+
+    def query(spark, folder):
+        r, out = cut(ratings(spark, folder), "ratings"), None
+        for d in factors:
+            u, v = P.descend(r, P.hashed_factors(r, "user_id", "u", d), P.hashed_factors(r, "item_id", "v", d), d, rate=RATE, penalty=PENALTY, iterations=STEPS, precision=None)
+            one = _rmse(P.predict(_pairs(r, everyone), u, v, d)).select(F.lit(d).alias("factors"), "rmse")
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    return query
 
 
 SWEEP = (2, 5, 10)
+#: Both sets of numbers of factors of SURVEY AL-34.
+SWEEP_ALL = (2, 5, 10, 20, 50, 100)
 CUTS = ["ndcg_10", "ndcg_20", "ndcg_30"]
 QUERIES = {
-    "factor_sweep": _sweep,
+    "factor_sweep": _sweep(SWEEP),
+    "factor_sweep_all": _sweep(SWEEP_ALL, True),
     "pmf_step": _factors("v", 1),
     "pmf_iter3_users": _factors("u", STEPS),
     "pmf_iter3_items": _factors("v", STEPS),
     "pmf_objective": _objective,
     "pmf_predict": lambda s, d: _rounded(_predict(s, d), "predicted").select("user_id", "item_id", "predicted"),
+    "pmf_predict_all": lambda s, d: _rounded(_predict(s, d, True), "predicted").select("user_id", "item_id", "predicted"),
     "pair_features": _pair_features,
     "pair_sample_stats": lambda s, d: L.sample_stats(ratings(s, d)),
     "pair_user_samples": lambda s, d: L.user_samples(ratings(s, d)),
     "pairwise_wins": lambda s, d: _wins(s, d).select("user_id", "item_id", "wins"),
+    "pairwise_wins_all": lambda s, d: _wins(s, d, True).select("user_id", "item_id", "wins"),
     "ndcg_at_k": lambda s, d: _rounded(_ndcg(s, d), *CUTS),
+    "ndcg_at_k_all": lambda s, d: _rounded(_ndcg(s, d, True), *CUTS),
     "ndcg_mean": lambda s, d: _rounded(M.ndcg_mean(_ndcg(s, d)), *CUTS),
-    "rmse": lambda s, d: _rounded(M.rmse(_predict(s, d), "predicted", "score"), "rmse"),
-    "accuracy": lambda s, d: _rounded(M.accuracy(_predict(s, d).withColumn("predicted", F.round(F.round("predicted", 9))), "predicted", "score"), "accuracy"),
+    "ndcg_mean_all": lambda s, d: _rounded(M.ndcg_mean(_ndcg(s, d, True)), *CUTS),
+    "rmse": lambda s, d: _rmse(_predict(s, d)),
+    "rmse_all": lambda s, d: _rmse(_predict(s, d, True)),
+    "accuracy": lambda s, d: _accuracy(_predict(s, d)),
+    "accuracy_all": lambda s, d: _accuracy(_predict(s, d, True)),
 }
 
 _F = range(D)
@@ -147,3 +174,6 @@ SQL = {
     "rmse": _PRED + " SELECT round(sqrt(avg((predicted - score) ** 2)), 6) AS rmse FROM p",
     "accuracy": _PRED + " SELECT round(avg(CASE WHEN round(round(predicted, 9)) = score THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM p",
 }
+
+_PART = " WHERE user_id % 20 = 0"
+SQL |= {f"{n}_all": SQL[n].replace(_PART, "") for n in ("pmf_predict", "pairwise_wins", "ndcg_at_k", "ndcg_mean", "rmse", "accuracy")}
