@@ -152,14 +152,16 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Exact cosine of vector pairs."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
     for batch in batches:
-        out = np.zeros(batch.num_rows)
         ka, va, oa = _flat(batch, "ka", "va")
         kb, vb, ob = _flat(batch, "kb", "vb")
-        for r in range(batch.num_rows):
-            x, y = va[oa[r] : oa[r + 1]], vb[ob[r] : ob[r + 1]]
-            _, p, q = np.intersect1d(ka[oa[r] : oa[r + 1]], kb[ob[r] : ob[r + 1]], assume_unique=True, return_indices=True)
-            size = np.sqrt((x @ x) * (y @ y))
-            out[r] = (x[p] @ y[q]) / size if size else 0.0
+        n = batch.num_rows
+        ra, rb = np.repeat(np.arange(n), np.diff(oa)), np.repeat(np.arange(n), np.diff(ob))
+        names, at = np.unique(np.concatenate([ka, kb]), return_inverse=True)
+        # pair and key in one number; ascending, as keys are inside a vector
+        _, p, q = np.intersect1d(ra * len(names) + at[: len(ka)], rb * len(names) + at[len(ka) :], assume_unique=True, return_indices=True)
+        dots = np.bincount(ra[p], va[p] * vb[q], n)
+        sizes = np.sqrt(np.bincount(ra, va * va, n) * np.bincount(rb, vb * vb, n))
+        out = np.divide(dots, sizes, out=np.zeros(n), where=sizes > 0)
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out)], schema=schema)
 
 
@@ -237,3 +239,17 @@ def nearest(vectors: DataFrame, k: int, *, queries: DataFrame | None = None, **o
         both = both.join(asking, "id", "left_semi")
     rank = F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), "neighbour"))
     return both.withColumn("rank", rank).filter(F.col("rank") <= k), classes
+
+
+def nearest_members(neighbours: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """``(id, neighbour, similarity, rank)``: for each member of a class its ``k`` nearest other members, copies included, of the result of :func:`nearest`; ties to the smaller id.
+
+    No class gives more than its ``k`` smallest other ids, so a large class makes no pairs.
+    """
+    first = classes.withColumn("n", F.row_number().over(W.partitionBy("class_id").orderBy("id"))).filter(F.col("n") <= k + 1)
+    offered = first.select(F.col("class_id").alias("near"), F.col("id").alias("neighbour"))
+    copies = classes.join(offered.withColumnRenamed("near", "class_id"), "class_id").filter("id <> neighbour").select("id", "neighbour", F.lit(1.0).alias("similarity"))
+    near = neighbours.select(F.col("id").alias("class_id"), F.col("neighbour").alias("near"), "similarity")
+    others = classes.join(near, "class_id").join(offered, "near").select("id", "neighbour", "similarity")
+    rank = F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), "neighbour"))
+    return copies.unionByName(others).withColumn("rank", rank).filter(F.col("rank") <= k)

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .ratings import latest, valid_rating
-from .similar import expand_classes, nearest, similar_pairs, to_vectors
+from .similar import expand_classes, nearest, nearest_members, similar_pairs, to_vectors
 
 
-def rating_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    """Users with at least 20 clean ratings other than 3, as vectors of score - 3 by movie."""
+def rating_vectors(spark: SparkSession, folder: str, *, least: int = 20) -> DataFrame:
+    """Users with at least ``least`` clean ratings other than 3, as vectors of score - 3 by movie."""
     rows = table(spark, folder, "train").select("pos", "movieid", "userid", "score").filter(valid_rating())
     clean = latest(rows, ["movieid", "userid"], ["score"]).filter(F.col("score") != 3)
-    return to_vectors(clean.withColumn("v", F.col("score") - 3), "userid", "movieid", "v", least=20)
+    return to_vectors(clean.withColumn("v", F.col("score") - 3), "userid", "movieid", "v", least=least)
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -29,7 +29,14 @@ def p1_nearest(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.select(F.col("id").alias("userid"), F.col("neighbour").alias("other"), F.round("similarity", 9).alias("similarity"), "rank")
 
 
-QUERIES = {"p1_found": p1_found, "p1_nearest": p1_nearest}
+def p1_nearest_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The 5 nearest other users, copies included, of every user with a clean rating other than 3, however dissimilar."""
+    neighbours, classes = nearest(rating_vectors(spark, folder, least=1), 5)
+    members = nearest_members(neighbours, classes, 5)
+    return members.select(F.col("id").alias("userid"), F.col("neighbour").alias("other"), F.round("similarity", 9).alias("similarity"), "rank")
+
+
+QUERIES = {"p1_found": p1_found, "p1_nearest": p1_nearest, "p1_nearest_all": p1_nearest_all}
 
 _VECTORS = """
 WITH k AS (SELECT movieid, userid, score, row_number() OVER (PARTITION BY movieid, userid ORDER BY pos DESC NULLS LAST, score DESC) AS n

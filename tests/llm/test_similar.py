@@ -76,6 +76,23 @@ def test_nearest(spark):
     assert hits >= 0.9 * total
 
 
+def test_nearest_of_every_user(spark, data):
+    from skeinwork.llm import similar_queries as Q
+
+    vectors = {r["id"]: dict(zip(r["keys"], r["values"])) for r in Q.rating_vectors(spark, data, least=1).collect()}
+    got = {}
+    for r in sorted(Q.p1_nearest_all(spark, data).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["userid"], []).append((r["other"], r["similarity"]))
+    assert set(got) == set(vectors) and all(len(x) == 5 for x in got.values())
+    hits = 0
+    asked = sorted(vectors)[::10]
+    for q in asked:
+        assert all(q != o and abs(cosine(vectors[q], vectors[o]) - s) < 1e-8 for o, s in got[q])
+        fifth = sorted((cosine(vectors[q], v) for k, v in vectors.items() if k != q), reverse=True)[4]
+        hits += sum(s >= fifth - 1e-8 for _, s in got[q])  # of equal similarity any will do
+    assert hits >= 0.9 * 5 * len(asked)
+
+
 def test_vector_dirt(spark):
     rows = [(1, [1, 2], [1.0, 1.0]), (2, [1, 2], [2.0, 2.0]), (3, [], []), (4, [1], [0.0]), (None, [1], [1.0]), (5, None, None), (6, [2, 9], [1.0, -1.0])]
     df = spark.createDataFrame([(*r, None, None) for r in rows], SCHEMA)
