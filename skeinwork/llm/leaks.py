@@ -32,6 +32,7 @@ _P, _64 = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 plain_words = re.compile(r"[a-z0-9]+").findall
 _cased_words = re.compile(r"[A-Za-z0-9]+").findall
+_sentences = re.compile(r"[.!?:]\s+|\n+").split
 
 
 def _code(word: str) -> int:
@@ -56,17 +57,48 @@ class Canon(dict):
         return code
 
 
-def name_lexicon(texts: list[str]) -> set[str]:
-    """Words that the texts write with a capital inside sentences and never in lower case."""
-    capital, lower = set(), set()
-    for text in texts:
-        for sentence in re.split(r"[.!?:]\s+|\n+", text):
-            for k, word in enumerate(_cased_words(sentence)):
-                if word[0].islower():
-                    lower.add(word)
-                elif k and word[0].isupper():
-                    capital.add(word.lower())
-    return {w for w in capital - lower if not w[0].isdigit()}
+def cased(text: str) -> str:
+    """Its runs of ``[A-Za-z0-9]`` are the plain words of the text, each letter in the text's own case."""
+    if text.isascii():
+        return text
+    out = []
+    for c in text:
+        low = c.lower()
+        out.append(low.upper() if low.isascii() and c.isupper() else low)
+    return "".join(out)
+
+
+def words_by_case(text: str) -> tuple[list[bool], list[bool]]:
+    """For each plain word of the text: whether it has a capital, and whether it begins a sentence."""
+    capital: list[bool] = []
+    initial: list[bool] = []
+    for sentence in _sentences(cased(text)):
+        words = _cased_words(sentence)
+        capital.extend([w[0].isupper() for w in words])
+        initial.extend([k == 0 for k in range(len(words))])
+    return capital, initial
+
+
+def own_names(words: list[str], capital: list[bool], initial: list[bool]) -> tuple[set[str], set[str]]:
+    """Names of one text, which it never writes without a capital: those inside sentences, and those that only begin one."""
+    lower = {w for w, c in zip(words, capital) if not c}
+    inner = {w for w, c, i in zip(words, capital, initial) if c and not i} - lower
+    return inner, {w for w, c in zip(words, capital) if c} - lower - inner
+
+
+def item_lexicon(items: DataFrame) -> tuple[set[str], set[str]]:
+    """``(names, ordinary)`` words of all ``items(text)``: names have a capital inside sentences and are never in lower case; the rest is ordinary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: dict[str, int] = {}
+            for text in batch.column(0).to_pylist():
+                for word, capital, initial in zip(plain_words(text.lower()), *words_by_case(text)):
+                    seen[word] = seen.get(word, 0) | (0 if word[0].isdigit() else 1 if not capital else 0 if initial else 2)
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int32())], names=["word", "cases"])
+
+    cases = items.select("text").mapInArrow(run, "word string, cases int").groupBy("word").agg(F.bit_or("cases").alias("cases")).collect()
+    return {r["word"] for r in cases if r["cases"] == 2}, {r["word"] for r in cases if r["cases"] != 2}
 
 
 def window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
@@ -90,12 +122,17 @@ def window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
 
 
 class ItemIndex:
-    """Template windows of a block of items: those of ``size`` words, or the whole of a shorter item."""
+    """Template windows of a block of items: those of ``size`` words, or the whole of a shorter item.
 
-    def __init__(self, items: list[tuple[int, str]], size: int):
-        self.names = name_lexicon([t for _, t in items])
+    Names are those of the lexicon of all items. A window that holds other names of its own item is there a second time, ``second`` from that number on.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], size: int, names: set[str], ordinary: set[str]):
+        self.names, self.ordinary = names, ordinary
         canon = Canon(self.names)
         self.windows: list[tuple[int, tuple[str, ...]]] = []
+        again: list[tuple[int, tuple[str, ...]]] = []
+        again_hashes: list[np.ndarray] = []
         hashes: list[np.ndarray] = []
         self.sizes: set[int] = set()
         for item, text in items:
@@ -107,6 +144,17 @@ class ItemIndex:
             codes = np.fromiter(map(canon.__getitem__, words), np.uint64, len(words))
             hashes.append(window_hashes(codes, own) + np.uint64(own))
             self.windows.extend((item, tuple(words[k : k + own])) for k in range(len(words) - own + 1))
+            inner = own_names(words, *words_by_case(text))[0] - names
+            if inner:
+                fixed = (np.uint64(Canon.NUMBER), np.uint64(Canon.UNIT))
+                wider = np.fromiter((Canon.NAME if w in inner and c not in fixed else c for w, c in zip(words, codes)), np.uint64, len(words))
+                other = window_hashes(wider, own) + np.uint64(own)
+                at = np.flatnonzero(other != hashes[-1])
+                again.extend((item, tuple(words[k : k + own])) for k in at.tolist())
+                again_hashes.append(other[at])
+        self.second = len(self.windows)
+        self.windows.extend(again)
+        hashes.extend(again_hashes)
         flat = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
         self.order = np.argsort(flat, kind="stable")
         self.sorted = flat[self.order]
@@ -135,15 +183,25 @@ def slots_agree(item: tuple[str, ...], found: tuple[str, ...]) -> bool:
 def _scan(index: ItemIndex, reparameterised: bool):
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("kind", pa.string()), ("windows", pa.int32())])
 
-    def matches(words: list[str], codes: np.ndarray, lengths: np.ndarray):
-        """(text number, window, whether exact) of windows of equal template that lie inside one text."""
+    def matches(words: list[str], codes: np.ndarray, lengths: np.ndarray, second: bool = False, before: dict[int, list[np.ndarray]] | None = None):
+        """(text number, item, whether exact) of windows of equal template that lie inside one text.
+
+        ``second``: also those of the items' own names. ``before``: hashes already probed by size; windows that had the same there are passed over.
+        """
         ends = np.cumsum(lengths)
         for size in index.sizes:
             hashes = window_hashes(codes, size)
-            for at, window in index.probe(hashes + np.uint64(size)):
+            own = np.arange(len(hashes))
+            if before is not None:
+                held = before.setdefault(size, [])
+                if held:
+                    own = np.flatnonzero(np.logical_and.reduce([hashes != h for h in held]))
+                held.append(hashes)
+            for k, window in index.probe(hashes[own] + np.uint64(size)):
+                at = int(own[k])
                 item, wanted = index.windows[window]
                 text = int(np.searchsorted(ends, at, "right"))
-                if len(wanted) != size or at + size > ends[text]:
+                if len(wanted) != size or at + size > ends[text] or (window >= index.second and not second):
                     continue
                 found = tuple(words[at : at + size])
                 if found == wanted:
@@ -156,7 +214,7 @@ def _scan(index: ItemIndex, reparameterised: bool):
         for batch in batches:
             docs = batch.column(0).to_pylist()
             words: list[str] = []
-            lengths, capital = np.zeros(batch.num_rows, np.int64), []
+            lengths, marks = np.zeros(batch.num_rows, np.int64), bytearray()
             for k, text in enumerate(batch.column(1).to_pylist()):
                 if not text:
                     continue
@@ -165,26 +223,26 @@ def _scan(index: ItemIndex, reparameterised: bool):
                 words.extend(own)
                 lengths[k] = len(own)
                 if reparameterised:
-                    cased = _cased_words(text) if low.isascii() else own
-                    same = len(cased) == len(own)
-                    capital.extend([same and a[0].isupper() for a in (cased if same else own)])
+                    inner, initial = own_names(own, *words_by_case(text))
+                    kind = {w: 1 + 2 * (w in index.ordinary) for w in inner} | {w: 2 + 2 * (w in index.ordinary) for w in initial}
+                    marks.extend([kind.get(w, 0) for w in own])
             if not words:
                 continue
             codes = np.fromiter(map(canon.__getitem__, words), np.uint64, len(words))
             hits: dict[tuple[int, int], list[int]] = {}
             for text, item, exact in matches(words, codes, lengths):
                 hits.setdefault((text, item), [0, 0])[not exact] += 1
-            if reparameterised:  # again, with the text's own names
-                marked = np.array(capital, bool) & (codes != np.uint64(Canon.NUMBER)) & (codes != np.uint64(Canon.UNIT))
-                first = np.cumsum(lengths) - lengths
-                marked[first[lengths > 0]] = False
-                own_names = {words[k] for k in np.flatnonzero(marked)} - {words[k] for k in np.flatnonzero(~np.array(capital, bool))}
-                wider = np.fromiter((Canon.NAME if w in own_names else c for w, c in zip(words, codes.tolist())), np.uint64, len(words))
-                for text, item, exact in matches(words, wider, lengths):
-                    if not exact and (text, item) not in hits:
-                        hits[text, item] = [0, 1]
-                    elif not exact:
-                        hits[text, item][1] = max(hits[text, item][1], 1)
+            if reparameterised:  # again, with each text's own names
+                # 1: inside sentences, 2: only at the begin of one, 3 and 4: likewise, but ordinary words of the items. A word that begins a sentence
+                # may be either, and so may any in a text of capitals only
+                mark = np.frombuffer(marks, np.uint8) * ((codes != np.uint64(Canon.NUMBER)) & (codes != np.uint64(Canon.UNIT)))
+                before: dict[int, list[np.ndarray]] = {}
+                for kinds in ((1, 3), (1, 2, 3), (1, 2, 3, 4), (1, 2)):
+                    wider = np.where(np.isin(mark, kinds), np.uint64(Canon.NAME), codes)
+                    for text, item, exact in matches(words, wider, lengths, True, before):
+                        if not exact:
+                            hit = hits.setdefault((text, item), [0, 0])
+                            hit[1] = max(hit[1], 1)
             rows = [(docs[t], i, "exact" if n[0] else "reparameterised", n[0] or n[1]) for (t, i), n in hits.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
@@ -196,18 +254,20 @@ def leaked_items(texts: DataFrame, items: DataFrame, *, size: int = 10, reparame
 
     kind 'exact', or 'reparameterised' where only numbers, names and units differ, consistently; ``windows`` counts the
     matching window pairs of that kind (of a re-parameterised hit with names the items never use, at least one). Items without a word match nothing; null, empty and
-    blank texts hold nothing. Items go to the tasks in blocks of about ``block_words`` words, one scan of the texts for each.
+    blank texts hold nothing. A name is a word that the items write with a capital inside sentences and never in lower case, or one that the single item or
+    text never writes without a capital. Items go to the tasks in blocks of about ``block_words`` words, one scan of the texts for each.
     Repeated text rows give repeated rows; equal items are reported each. Empty tables give no row.
     """
     spark = texts.sparkSession
     sized = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter(F.length("text") > 0)
     total = sized.agg(F.sum(F.length("text") / 5)).first()[0] or 0
     blocks = max(1, int(-(-total // block_words)))
+    names, ordinary = item_lexicon(sized) if reparameterised else (set(), set())
     source = texts.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     found = None
     for b in range(blocks):
         block = [(r[0], r[1]) for r in sized.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()]
-        shipped = spark.sparkContext.broadcast(ItemIndex(block, size))  # of bounded size
+        shipped = spark.sparkContext.broadcast(ItemIndex(block, size, names, ordinary))  # of bounded size
 
         def run(batches, shipped=shipped):
             yield from _scan(shipped.value, reparameterised)(batches)

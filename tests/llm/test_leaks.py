@@ -1,11 +1,12 @@
 """Leaked items against brute force."""
 
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from skeinwork.llm.leaks import leaked_items, plain_words, window_hashes
+from skeinwork.llm.leaks import cased, leaked_items, plain_words, window_hashes, words_by_case
 
 DOCS, ITEMS = "doc_id long, text string, item_id long, kind string", "item_id long, text string, doc_id long, size int"
 
@@ -56,6 +57,23 @@ def test_reparameterised(spark):
     assert short == set()
 
 
+def test_names_are_those_of_each_text(spark):
+    item = "When the storm hit Velmora, 12 ships carried 400 tons of grain to Dastin before 12 noon"
+    same = "He said: When the storm hit Rose, 15 ships carried 90 tons of grain to Mark before 15 noon"
+    docs = [(1, same), (2, "a rose will mark the spot"), (3, "\u201c" + same + "\u201d \u0130"), (4, "the \u00e9t\u00e9 of rose and mark"), (5, same.replace("Rose", "Garnok")), (6, same.upper())]
+    t, i = tables(spark, docs, [(7, item), (8, "it is velmora and dastin, in lower case")])
+    for options in ({}, {"block_words": 10}):
+        for parts in (1, 6):
+            got = {(r["doc_id"], r["item_id"], r["kind"]) for r in leaked_items(t.repartition(parts), i, **options).collect()}
+            assert {(d, 7, "reparameterised") for d in (1, 3, 5)} <= got and not {g for g in got if g[0] in (2, 4)}
+
+
+def test_case_of_words():
+    for text in ("K \u0130stanbul na\u00efve \u212aelvin", "It\u2019s Velmora\u2019s. A\u0130B \u03a3\u03a3 x9 Rose"):
+        assert [w.lower() for w in re.findall("[A-Za-z0-9]+", cased(text))] == plain_words(text.lower())
+        assert all(len(x) == len(plain_words(text.lower())) for x in words_by_case(text))
+
+
 def test_window_hashes():
     codes = np.random.default_rng(0).integers(0, 1 << 62, 50).astype(np.uint64)
     for size in range(1, 12):
