@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -131,10 +132,14 @@ def neighbour_descent(records: DataFrame, threshold: float, *, keep: int = NEIGH
     return near.select("a", "b", "s"), cut(same.distinct(), "same")
 
 
-def _move(both: DataFrame, degree: DataFrame, total: float, rounds: int) -> tuple[DataFrame, int]:
-    """``(id, d, c)`` after rounds of moves of single nodes, and how many moves there were. ``both(a, b, s)`` has each link both ways, ``degree(id, d)`` all weight of a node."""
+def _move(both: DataFrame, degree: DataFrame, total: float, rounds: int, settle: bool = True) -> tuple[DataFrame, int]:
+    """``(id, d, c)`` after moves of single nodes until none gains by one, and how many moves there were.
+
+    In the first ``rounds`` rounds half of the nodes, by hash, may move; then only the best mover from or to each community. Those moves don't touch
+    each other, so every one raises modularity and the rounds end. ``both(a, b, s)`` has each link both ways, ``degree(id, d)`` all weight of a node.
+    """
     label, moves = degree.select("id", "d", F.col("id").alias("c")), 0
-    for r in range(rounds):
+    for r in count():
         mass = label.groupBy("c").agg(F.sum("d").alias("mass"))
         towards = both.join(label.select(F.col("id").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("s").alias("w")).withColumnRenamed("a", "id")
         offers = towards.join(mass, "c").join(label.select("id", "d", F.col("c").alias("own")), "id")
@@ -143,32 +148,45 @@ def _move(both: DataFrame, degree: DataFrame, total: float, rounds: int) -> tupl
         pick = scored.groupBy("id").agg(F.max_by("c", F.struct("gain", -F.col("c"))).alias("to"), F.max("gain").alias("best"), F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("stay"))
         # alone, a node has gain 0; in the first round all are alone, and only moves to a smaller community can't swap a pair
         stay = F.coalesce("stay", F.lit(0.0))
-        may = (F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0) if r else F.col("to") < F.col("c")
-        moved = label.join(pick, "id", "left").withColumn("go", F.coalesce(may & (F.col("best") > stay), F.lit(False)))
-        before, label = label, cut(moved.select("id", "d", F.when(F.col("go"), F.col("to")).otherwise(F.col("c")).alias("c"), "go"), "moves")
+        wants = F.coalesce(F.col("best") > stay, F.lit(False))
+        moved = label.select("id", "d", "c").join(pick, "id", "left").withColumn("wants", wants)
+        if r < rounds:
+            may = (F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0) if r else F.col("to") < F.col("c")
+        else:
+            moved = cut(moved.withColumn("more", F.col("best") - stay), "wishes")
+            wishes = moved.filter("wants").select("id", "more", F.explode(F.array("c", "to")).alias("k"))
+            first = wishes.groupBy("k").agg(F.max_by("id", F.struct("more", -F.col("id"))).alias("id"))
+            moved = moved.join(first.groupBy("id").agg((F.count(F.lit(1)) == 2).alias("may")), "id", "left")
+            may = F.coalesce("may", F.lit(False))
+        moved = moved.withColumn("go", F.col("wants") & may)
+        before, label = label, cut(moved.select("id", "d", F.when(F.col("go"), F.col("to")).otherwise(F.col("c")).alias("c"), "go", "wants"), "moves")
         drop_cut(before)
-        changed = label.filter("go").count()
-        moves += changed
-        if not changed and r:
-            break
-    return label, moves
+        seen = label.agg(F.count_if("go").alias("go"), F.count_if("wants").alias("wants")).first()
+        moves += seen["go"]
+        if not seen["wants"] or not settle and r + 1 >= rounds:
+            return label, moves
 
 
-def communities(near: DataFrame, threshold: float, *, rounds: int = 4, levels: int = 2) -> DataFrame:
+def communities(near: DataFrame, threshold: float, *, rounds: int = 6, levels: int | None = None, settle: bool = True) -> DataFrame:
     """``(id, community)``: records moved, round by round, to the community of a linked neighbour that gains most modularity; then communities likewise, as nodes.
 
     Links are the neighbours at or above ``threshold``, weighted by similarity. Half of the nodes, by hash, may
-    move in a round, so that two don't swap for ever; ties go to the smaller community, and a move needs a gain. A level ends when nothing moves, the whole when a level moves nothing.
+    move in each of the first ``rounds`` rounds of a level, then those whose moves don't touch each other; ties go to the smaller community, and a move needs a gain.
+    A level ends when no node would gain by a move, the whole when a level joins nothing. ``levels`` and ``settle=False``, which ends a level after ``rounds``, are for
+    a rough division whose communities aren't a result.
     """
     links = near.filter(F.col("s") >= threshold - 1e-12).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s").groupBy("a", "b").agg(F.max("s").alias("s"))
     both = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "s")), "graph")
     degree = cut(both.groupBy(F.col("a").alias("id")).agg(F.sum("s").alias("d")), "degrees")
     total = degree.agg(F.sum("d")).first()[0] or 1.0
     where = degree.select("id", F.col("id").alias("community"))
-    for _ in range(levels):
-        label, moves = _move(both, degree, total, rounds)
-        if not moves:
+    nodes = degree.count()
+    for _ in count() if levels is None else range(levels):
+        label, moves = _move(both, degree, total, rounds, settle)
+        left = label.select("c").distinct().count() if moves else nodes
+        if left >= nodes:
             break
+        nodes = left
         of = label.select(F.col("id").alias("community"), F.col("c").alias("next"))
         where = cut(where.join(of, "community").select("id", F.col("next").alias("community")), "communities")
         ends = both.join(label.select(F.col("id").alias("a"), F.col("c").alias("x")), "a").join(label.select(F.col("id").alias("b"), F.col("c").alias("y")), "b")
@@ -177,20 +195,20 @@ def communities(near: DataFrame, threshold: float, *, rounds: int = 4, levels: i
     return where
 
 
-def record_clusters(vectors: DataFrame, *, threshold: float = 0.5, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+def record_clusters(vectors: DataFrame, *, threshold: float = 0.5, rough: bool = False, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(members, near, classes)`` of sparse records ``vectors(doc_id, term, freq)``.
 
     members(doc_id, cluster_id, community_id): every record with a usable entry whose term isn't too common; records linked (cosine of f at or above
     ``threshold``), also through others, share a cluster, named by its smallest doc_id; a community is the part of it found by
     modularity, named by one of its records. Copies (equal vectors) are compared once and share both. Records found without a link are clusters of their own.
     Links are searched by neighbour descent, so a link may be missed; clusters are then put together from the links inside communities and those
-    between them, exactly. An empty table gives empty results.
+    between them, exactly. ``rough``: clusters are the same, but community_id is only a rough division. An empty table gives empty results.
     """
     records = cut(record_vectors(vectors), "records")
     classes = cut(copy_classes(records), "classes")
     firsts = cut(records.join(classes.filter("id = class_id").select("id"), "id", "left_semi"), "firsts")
     near, same = neighbour_descent(firsts, threshold, **options)
-    parts = cut(communities(near, threshold), "communities")
+    parts = cut(communities(near, threshold, **({"rounds": 4, "levels": 2, "settle": False} if rough else {})), "communities")
     of = lambda side: parts.select(F.col("id").alias(side), F.col("community").alias(f"c{side}"))
     placed = cut(same.join(of("a"), "a", "left").join(of("b"), "b", "left"), "placed")
     inside = F.col("ca") == F.col("cb")

@@ -10,7 +10,7 @@ from .clusters import describe, record_clusters
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    members, _, _ = record_clusters(table(spark, folder, "docvectors"))
+    members, _, _ = record_clusters(table(spark, folder, "docvectors"), rough=True)
     members = cut(members, "members")
     big = members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 3).select("cluster_id")
     return members.join(big, "cluster_id", "left_semi").select("doc_id", "cluster_id")

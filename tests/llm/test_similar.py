@@ -185,6 +185,23 @@ def test_communities(spark):
     assert clusters.communities(spark.createDataFrame([], "a long, b long, s double"), 0.5).count() == 0
 
 
+def test_communities_end_when_nothing_moves(spark):
+    rng = random.Random(11)
+    links = {}
+    for _ in range(1200):  # groups of groups, loosely linked
+        a = rng.randrange(400)
+        b = a // 8 * 8 + rng.randrange(8) if rng.random() < 0.7 else a // 40 * 40 + rng.randrange(40) if rng.random() < 0.7 else rng.randrange(400)
+        if a != b:
+            links[min(a, b), max(a, b)] = round(rng.uniform(0.5, 1), 3)
+    rows = [(a, b, s) for (a, b), s in links.items()] + [(1000 + k, 1001 + k, 0.7) for k in range(200)]
+    label = {r["id"]: r["community"] for r in clusters.communities(spark.createDataFrame(rows, "a long, b long, s double"), 0.5).collect()}
+    whole, names = modularity(rows, label), sorted(set(label.values()))
+    between = {tuple(sorted((label[a], label[b]))) for a, b, _ in rows if label[a] != label[b]}
+    assert names and between
+    for x, y in between:  # no two linked communities gain by joining
+        assert modularity(rows, {k: x if c == y else c for k, c in label.items()}) <= whole + 1e-8
+
+
 def test_cluster_dirt(spark):
     rows = [(1, 0, 5, 2, "x", 1.0), (1, 0, 5, 2, "x", 1.0), (2, 0, None, 1, "x", 1.0), (3, 0, 6, 0, "x", 1.0), (None, 0, 6, 1, "x", 1.0), (4, None, 7, None, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, pos int, term int, freq int, id string, s double")
