@@ -224,13 +224,19 @@ def record_clusters(vectors: DataFrame, *, threshold: float = 0.5, rough: bool =
 
 
 def describe(members: DataFrame, near: DataFrame, classes: DataFrame, *, threshold: float = 0.5, typical: int = 3) -> DataFrame:
-    """``(cluster_id, community_id, size, typical)`` of each community of two or more records: its records and the ``typical`` ones of highest internal weighted degree (ties: smaller id)."""
+    """``(cluster_id, community_id, size, typical)`` of each community of two or more records: its records and the ``typical`` ones of highest internal weighted degree (ties: smaller id).
+
+    The degree counts every record of the linked classes, and copies as links of similarity 1; copies have the same degree. Links are those of ``near``, which has
+    the nearest of each class only, so in dense communities the degree is that within the neighbour graph.
+    """
     where = members.select(F.col("doc_id").alias("id"), "cluster_id", "community_id")
     links = near.filter(F.col("s") >= threshold - 1e-12)
     links = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "s")).groupBy("a", "b").agg(F.max("s").alias("s"))
+    counts = classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"))
     inner = links.join(where.select(F.col("id").alias("a"), F.col("community_id").alias("x")), "a").join(where.select(F.col("id").alias("b"), F.col("community_id").alias("y")), "b").filter("x = y")
-    degree = inner.groupBy(F.col("a").alias("id")).agg(F.round(F.sum("s"), 9).alias("d"))
-    ranked = where.join(degree, "id", "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
+    towards = inner.join(counts.withColumnRenamed("class_id", "b"), "b").groupBy(F.col("a").alias("class_id")).agg(F.sum(F.col("s") * F.col("n")).alias("w"))
+    degree = counts.join(towards, "class_id", "left").select("class_id", F.round(F.coalesce("w", F.lit(0.0)) + F.col("n") - 1, 9).alias("d"))
+    ranked = where.join(classes, "id").join(degree, "class_id")
     top = ranked.withColumn("k", F.row_number().over(W.partitionBy("community_id").orderBy(F.desc("d"), "id"))).filter(F.col("k") <= typical)
     best = top.groupBy("community_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "id"))), lambda x: x["id"]).alias("typical"))
     sizes = where.groupBy("cluster_id", "community_id").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= 2)

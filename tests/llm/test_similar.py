@@ -202,6 +202,15 @@ def test_communities_end_when_nothing_moves(spark):
         assert modularity(rows, {k: x if c == y else c for k, c in label.items()}) <= whole + 1e-8
 
 
+def test_copies_count_for_typical_members(spark):
+    members = spark.createDataFrame([(k, 1, 1) for k in range(1, 9)] + [(20, 20, 20), (21, 20, 20)], "doc_id long, cluster_id long, community_id long")
+    classes = spark.createDataFrame([(k, 1) for k in range(1, 6)] + [(6, 6), (7, 7), (8, 8), (20, 20), (21, 20)], "id long, class_id long")  # 1 to 5 are copies
+    near = spark.createDataFrame([(1, 6, 0.6), (6, 1, 0.6), (6, 7, 0.9), (7, 6, 0.9), (7, 8, 0.9)], "a long, b long, s double")
+    got = {r["community_id"]: (r["size"], r["typical"]) for r in clusters.describe(members, near, classes, typical=6).collect()}
+    # copies 4 + 0.6, 6: 5 * 0.6 + 0.9, 7: 1.8, 8: 0.9
+    assert got == {1: (8, [1, 2, 3, 4, 5, 6]), 20: (2, [20, 21])}
+
+
 def test_cluster_dirt(spark):
     rows = [(1, 0, 5, 2, "x", 1.0), (1, 0, 5, 2, "x", 1.0), (2, 0, None, 1, "x", 1.0), (3, 0, 6, 0, "x", 1.0), (None, 0, 6, 1, "x", 1.0), (4, None, 7, None, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, pos int, term int, freq int, id string, s double")
