@@ -37,8 +37,8 @@ def first_component(table: DataFrame, columns: Sequence[str]) -> tuple[np.ndarra
     """``(means, deviations, loadings)`` of the columns: first principal component of their correlation matrix.
 
     One aggregation gives all sums and products; the matrix has len(columns) squared cells. Every column is oriented
-    alike (larger is better), so the component's sign is the one that makes the sum of loadings positive, and a loading
-    of the other sign is set to 0: a run that contradicts the rest has no say. Constant columns get loading 0. No rows, or all columns constant, give equal loadings.
+    alike by the declared directions, so every loading has its size and that direction's sign, here positive: a run
+    that contradicts the rest has its say too. Constant columns get loading 0. No rows, or all columns constant, give equal loadings.
     """
     k = len(columns)
     pairs = [(a, b) for a in range(k) for b in range(a, k)]
@@ -57,7 +57,7 @@ def first_component(table: DataFrame, columns: Sequence[str]) -> tuple[np.ndarra
     corr = cov / np.outer(safe, safe)
     corr[~live] = corr[:, ~live] = 0.0
     vector = np.linalg.eigh(corr)[1][:, -1]
-    vector = np.where(live, vector * (1 if vector.sum() >= 0 else -1), 0.0).clip(min=0.0)
+    vector = np.where(live, np.abs(vector), 0.0)
     return means, safe, vector / np.linalg.norm(vector)
 
 

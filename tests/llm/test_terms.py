@@ -168,6 +168,12 @@ def test_fusion_of_dirt(spark):
         fuse.fused_ranking(scores(spark, rows), combine="x")
 
 
+def test_contradicting_run_has_a_say(spark):
+    placed = spark.createDataFrame([(k, k, 9 - k) for k in range(1, 9)], "p_0 long, p_1 long, p_2 long")
+    _, _, loadings = fuse.first_component(placed, ["p_0", "p_1", "p_2"])
+    assert all(abs(x - 3**-0.5) < 1e-9 for x in loadings)
+
+
 def test_component_ignores_scale(spark):
     random.seed(5)
     base = [("q%d" % (d % 7), d, random.random()) for d in range(140)]
