@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import cut, table
 from .ratings import latest, valid_rating
 from .similar import expand_classes, nearest, nearest_members, similar_pairs, to_vectors
 
@@ -23,20 +23,15 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_nearest(spark: SparkSession, folder: str) -> DataFrame:
-    """The 5 nearest of similarity 0.5 or more of each user divisible by 20, against all users; copies are named by their smallest id."""
-    vectors = rating_vectors(spark, folder)
-    neighbours, _ = nearest(vectors, 5, queries=vectors.filter(F.col("id") % 20 == 0).select("id"), min_similarity=0.5)
-    return neighbours.select(F.col("id").alias("userid"), F.col("neighbour").alias("other"), F.round("similarity", 9).alias("similarity"), "rank")
-
-
-def p1_nearest_all(spark: SparkSession, folder: str) -> DataFrame:
-    """The 5 nearest other users, copies included, of every user with a clean rating other than 3, however dissimilar."""
-    neighbours, classes = nearest(rating_vectors(spark, folder, least=1), 5)
-    members = nearest_members(neighbours, classes, 5)
+    """The 5 nearest other users, copies included and however dissimilar, of each user divisible by 20 with a clean rating other than 3, against all such users."""
+    vectors = rating_vectors(spark, folder, least=1)
+    asked = F.col("id") % 20 == 0
+    neighbours, classes = nearest(vectors, 5, queries=vectors.filter(asked).select("id"))
+    members = nearest_members(cut(neighbours, "neighbours"), classes, 5, asked)
     return members.select(F.col("id").alias("userid"), F.col("neighbour").alias("other"), F.round("similarity", 9).alias("similarity"), "rank")
 
 
-QUERIES = {"p1_found": p1_found, "p1_nearest": p1_nearest, "p1_nearest_all": p1_nearest_all}
+QUERIES = {"p1_found": p1_found, "p1_nearest": p1_nearest}
 
 _VECTORS = """
 WITH k AS (SELECT movieid, userid, score, row_number() OVER (PARTITION BY movieid, userid ORDER BY pos DESC NULLS LAST, score DESC) AS n
@@ -50,13 +45,5 @@ SQL = {
     + """, x AS (SELECT movieid, userid, v, len FROM c JOIN u USING (userid))
 SELECT a.userid AS userid_a, b.userid AS userid_b FROM x a JOIN x b ON a.movieid = b.movieid AND a.userid < b.userid
 GROUP BY a.userid, b.userid, a.len, b.len HAVING sum(a.v * b.v) / (a.len * b.len) >= 0.8 - 1e-12
-""",
-    "p1_nearest": _VECTORS
-    + """, f AS (SELECT min(userid) AS userid, max(CASE WHEN userid % 20 = 0 THEN 1 ELSE 0 END) AS asks, any_value(len) AS len FROM u GROUP BY content),
-     x AS (SELECT movieid, userid, v, len, asks FROM c JOIN f USING (userid)),
-     s AS (SELECT a.userid, b.userid AS other, sum(a.v * b.v) / (a.len * b.len) AS similarity FROM x a JOIN x b ON a.movieid = b.movieid AND a.userid <> b.userid WHERE a.asks = 1
-           GROUP BY a.userid, b.userid, a.len, b.len HAVING sum(a.v * b.v) / (a.len * b.len) >= 0.5 - 1e-12),
-     r AS (SELECT userid, other, round(similarity, 9) AS similarity, CAST(row_number() OVER (PARTITION BY userid ORDER BY similarity DESC, other) AS INT) AS rank FROM s)
-SELECT * FROM r WHERE rank <= 5
 """,
 }

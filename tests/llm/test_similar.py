@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skeinwork.llm import clusters, components, similar
 
@@ -60,37 +61,49 @@ def test_copies_are_a_third(spark):
     assert all(r["a"] < 5000 and r["b"] < 5000 for r in pairs.collect())
 
 
-def test_nearest(spark):
-    vectors = planted(300, seed=2)
+def ranked(vectors, q, k):
+    return sorted(((round(-cosine(vectors[q], v), 9), o) for o, v in vectors.items() if o != q))[:k]
+
+
+@pytest.mark.parametrize("options", [{"exact": True}, {"exact": True, "leaf_block": 40}, {"exact": True, "k": 20}, {"leaf": 16, "visits": 48}, {"leaf": 16, "visits": 48, "leaf_block": 8}])
+def test_nearest(spark, options):
+    vectors, options = planted(300, seed=2), dict(options)
+    k = options.pop("k", 3)
     t = table(spark, vectors)
-    near, _ = similar.nearest(t, 3, queries=t.filter("id % 20 = 0").select("id"), leaf=16)
+    near, classes = similar.nearest(t, k, queries=t.filter("id % 20 = 0").select("id"), **options)
     got = {}
-    for r in near.collect():
-        got.setdefault(r["id"], set()).add(r["neighbour"])
-    assert set(got) <= {k for k in vectors if k % 20 == 0}
-    hits = total = 0
-    for q in (k for k in vectors if k % 20 == 0):
-        best = sorted(((-cosine(vectors[q], v), k) for k, v in vectors.items() if k != q and cosine(vectors[q], v) >= 0.5))[:3]
-        hits += sum(k in got.get(q, ()) for _, k in best)
-        total += len(best)
-    assert hits >= 0.9 * total
-
-
-def test_nearest_of_every_user(spark, data):
+    for r in sorted(similar.nearest_members(near, classes, k, F.col("id") % 20 == 0).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["id"], []).append((round(-r["similarity"], 9), r["neighbour"]))
+    assert set(got) == {q for q in vectors if q % 20 == 0}
+    want = {q: ranked(vectors, q, k) for q in got}
+    if options.get("exact"):
+        assert got == want
+    else:
+        assert sum(len(set(got[q]) & set(want[q])) for q in got) >= 0.9 * k * len(got)
+
+
+def test_nearest_floor(spark):
+    vectors = planted(120, seed=4)
+    near, _ = similar.nearest(table(spark, vectors), 3, min_similarity=0.5, exact=True)
+    want = {(q, o) for q in vectors for s, o in ranked(vectors, q, 3) if -s >= 0.5}
+    assert {(r["id"], r["neighbour"]) for r in near.collect()} == want
+    assert similar.nearest(table(spark, vectors).limit(0), 3)[0].count() == 0
+
+
+def test_nearest_users(spark, data):
     from skeinwork.llm import similar_queries as Q
 
     vectors = {r["id"]: dict(zip(r["keys"], r["values"])) for r in Q.rating_vectors(spark, data, least=1).collect()}
     got = {}
-    for r in sorted(Q.p1_nearest_all(spark, data).collect(), key=lambda r: r["rank"]):
+    for r in sorted(Q.p1_nearest(spark, data).collect(), key=lambda r: r["rank"]):
         got.setdefault(r["userid"], []).append((r["other"], r["similarity"]))
-    assert set(got) == set(vectors) and all(len(x) == 5 for x in got.values())
+    assert set(got) == {u for u in vectors if u % 20 == 0} and all(len(x) == 5 for x in got.values())
     hits = 0
-    asked = sorted(vectors)[::10]
-    for q in asked:
+    for q in got:
         assert all(q != o and abs(cosine(vectors[q], vectors[o]) - s) < 1e-8 for o, s in got[q])
         fifth = sorted((cosine(vectors[q], v) for k, v in vectors.items() if k != q), reverse=True)[4]
         hits += sum(s >= fifth - 1e-8 for _, s in got[q])  # of equal similarity any will do
-    assert hits >= 0.9 * 5 * len(asked)
+    assert hits >= 0.9 * 5 * len(got)
 
 
 def test_vector_dirt(spark):
