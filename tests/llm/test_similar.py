@@ -84,9 +84,9 @@ def test_nearest(spark, options):
 
 def test_nearest_floor(spark):
     vectors = planted(120, seed=4)
-    near, _ = similar.nearest(table(spark, vectors), 3, min_similarity=0.5, exact=True)
+    near, classes = similar.nearest(table(spark, vectors), 3, min_similarity=0.5, exact=True)
     want = {(q, o) for q in vectors for s, o in ranked(vectors, q, 3) if -s >= 0.5}
-    assert {(r["id"], r["neighbour"]) for r in near.collect()} == want
+    assert {(r["id"], r["neighbour"]) for r in similar.nearest_members(near, classes, 3).collect()} == want
     assert similar.nearest(table(spark, vectors).limit(0), 3)[0].count() == 0
 
 
