@@ -1,14 +1,15 @@
 """Evaluation items found in texts, by hash-joined windows of canonical templates.
 
 Numbers, names and units become typed placeholders, so windows of an item and of a text that differ only in such slots have one
-template. Windows meet by the hash of their template; then the slots are compared: all equal is an exact leak, else
-each value has to stand for one value throughout the window for a re-parameterised one.
+template. Windows of all items are one table, and the texts are scanned once: of each text those windows whose hash may be an item's are
+joined with it by the hash. Then the slots are compared: all equal is an exact leak, else each value has to stand for one value throughout the
+window for a re-parameterised one.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Unit words.
+from ..session import broadcast_if_small, cut
+
+#: Unit words, and numbers in words.
 UNITS = (
     "percent second seconds minute minutes min mins hour hours hr hrs day days week weeks month months year years "
     "inch inches foot feet ft yard yards mile miles km kilometre kilometres kilometer kilometers metre metres meter meters cm mm "
@@ -25,9 +28,13 @@ UNITS = (
     "dollar dollars cent cents euro euros pence usd eur gbp mb gb tb kb hz khz mhz ghz mph kph"
 ).split()
 
-#: Words of one block of items; blocks are joined one after the other, each with one scan of the texts.
-BLOCK_WORDS = 2_000_000
-_FILTER_BITS = 22
+NUMBER_WORDS = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty "
+    "thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
+).split()
+
+#: Bits of a window's hash the texts are sieved by, and bytes of an item's window.
+FILTER_BITS, WINDOW_BYTES = 22, 256
 _P, _64 = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 plain_words = re.compile(r"[a-z0-9]+").findall
@@ -40,17 +47,17 @@ def _code(word: str) -> int:
 
 
 class Canon(dict):
-    """Plain word to the code of its canonical form: numbers and units by their spelling, names by the lexicon."""
+    """Plain word to the code of its canonical form: numbers and units by their spelling, names by the lexicon. A word that begins with a digit is a number."""
 
     LIMIT = 1_000_000
     NUMBER, UNIT, NAME = (_code(x) for x in ("<number>", "<unit>", "<name>"))
 
-    def __init__(self, names: set[str]):
+    def __init__(self, names: set[str], units: Collection[str] = UNITS, number_words: Collection[str] = NUMBER_WORDS):
         super().__init__()
-        self.names, self.units = names, set(UNITS)
+        self.names, self.units, self.numbers = names, set(units), set(number_words)
 
     def __missing__(self, word: str) -> int:
-        code = self.NUMBER if word[0].isdigit() else self.NAME if word in self.names else self.UNIT if word in self.units else _code(word)
+        code = self.NUMBER if word[0].isdigit() or word in self.numbers else self.NAME if word in self.names else self.UNIT if word in self.units else _code(word)
         if len(self) >= self.LIMIT:
             self.clear()
         self[word] = code
@@ -121,157 +128,140 @@ def window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
     return out * np.uint64(0xBF58476D1CE4E5B9)
 
 
-class ItemIndex:
-    """Template windows of a block of items: those of ``size`` words, or the whole of a shorter item.
+_WINDOWS = "hash long, item_id long, other boolean, size int, words array<string>"
+_CANDIDATES = "row long, doc_id long, hash long, first boolean, n long, words array<string>"
+
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+
+def item_windows(items: DataFrame, size: int, names: set[str], units: Collection[str], number_words: Collection[str], own: bool) -> DataFrame:
+    """``(hash, item_id, other, size, words)``: template windows of ``size`` words, or the whole of a shorter item.
 
-    Names are those of the lexicon of all items. A window that holds other names of its own item is there a second time, ``second`` from that number on.
+    Names are those of the lexicon of all items. With ``own``, a window that holds other names of its own item is there a second time, as ``other``.
     """
+    schema = pa.schema([("hash", pa.int64()), ("item_id", pa.int64()), ("other", pa.bool_()), ("size", pa.int32()), ("words", pa.list_(pa.string()))])
 
-    def __init__(self, items: list[tuple[int, str]], size: int, names: set[str], ordinary: set[str]):
-        self.names, self.ordinary = names, ordinary
-        canon = Canon(self.names)
-        self.windows: list[tuple[int, tuple[str, ...]]] = []
-        again: list[tuple[int, tuple[str, ...]]] = []
-        again_hashes: list[np.ndarray] = []
-        hashes: list[np.ndarray] = []
-        self.sizes: set[int] = set()
-        for item, text in items:
-            words = plain_words(text.lower())
-            if not words:
-                continue
-            own = min(size, len(words))
-            self.sizes.add(own)
-            codes = np.fromiter(map(canon.__getitem__, words), np.uint64, len(words))
-            hashes.append(window_hashes(codes, own) + np.uint64(own))
-            self.windows.extend((item, tuple(words[k : k + own])) for k in range(len(words) - own + 1))
-            inner = own_names(words, *words_by_case(text))[0] - names
-            if inner:
-                fixed = (np.uint64(Canon.NUMBER), np.uint64(Canon.UNIT))
-                wider = np.fromiter((Canon.NAME if w in inner and c not in fixed else c for w, c in zip(words, codes)), np.uint64, len(words))
-                other = window_hashes(wider, own) + np.uint64(own)
-                at = np.flatnonzero(other != hashes[-1])
-                again.extend((item, tuple(words[k : k + own])) for k in at.tolist())
-                again_hashes.append(other[at])
-        self.second = len(self.windows)
-        self.windows.extend(again)
-        hashes.extend(again_hashes)
-        flat = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        self.order = np.argsort(flat, kind="stable")
-        self.sorted = flat[self.order]
-        self.filter = np.zeros(1 << _FILTER_BITS, bool)
-        self.filter[self.sorted >> np.uint64(64 - _FILTER_BITS)] = True
-
-    def probe(self, hashes: np.ndarray) -> list[tuple[int, int]]:
-        """``(position in hashes, window)`` of all equal hashes."""
-        maybe = np.flatnonzero(self.filter[hashes >> np.uint64(64 - _FILTER_BITS)])
-        if not len(maybe):
-            return []
-        low = np.searchsorted(self.sorted, hashes[maybe], "left")
-        high = np.searchsorted(self.sorted, hashes[maybe], "right")
-        return [(int(p), int(self.order[k])) for p, a, z in zip(maybe, low, high) for k in range(a, z)]
-
-
-def slots_agree(item: tuple[str, ...], found: tuple[str, ...]) -> bool:
-    """Whether each value of the item stands for one value of the text and the other way round, and at least half of the words are the same."""
-    if 2 * sum(a == b for a, b in zip(item, found)) < len(item):
-        return False
-    there: dict[str, str] = {}
-    back: dict[str, str] = {}
-    return all(there.setdefault(a, b) == b and back.setdefault(b, a) == a for a, b in zip(item, found))
-
-
-def _scan(index: ItemIndex, reparameterised: bool):
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("kind", pa.string()), ("windows", pa.int32())])
-
-    def matches(words: list[str], codes: np.ndarray, lengths: np.ndarray, second: bool = False, before: dict[int, list[np.ndarray]] | None = None):
-        """(text number, item, whether exact) of windows of equal template that lie inside one text.
-
-        ``second``: also those of the items' own names. ``before``: hashes already probed by size; windows that had the same there are passed over.
-        """
-        ends = np.cumsum(lengths)
-        for size in index.sizes:
-            hashes = window_hashes(codes, size)
-            own = np.arange(len(hashes))
-            if before is not None:
-                held = before.setdefault(size, [])
-                if held:
-                    own = np.flatnonzero(np.logical_and.reduce([hashes != h for h in held]))
-                held.append(hashes)
-            for k, window in index.probe(hashes[own] + np.uint64(size)):
-                at = int(own[k])
-                item, wanted = index.windows[window]
-                text = int(np.searchsorted(ends, at, "right"))
-                if len(wanted) != size or at + size > ends[text] or (window >= index.second and not second):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        canon = Canon(names, units, number_words)
+        fixed = (np.uint64(Canon.NUMBER), np.uint64(Canon.UNIT))
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = plain_words(text.lower())
+                if not words:
                     continue
-                found = tuple(words[at : at + size])
-                if found == wanted:
-                    yield text, item, True
-                elif reparameterised and slots_agree(wanted, found):
-                    yield text, item, False
+                width = min(size, len(words))
+                codes = np.fromiter(map(canon.__getitem__, words), np.uint64, len(words))
+                hashes = window_hashes(codes, width)
+                rows = [(int(h), item, False, width, words[k : k + width]) for k, h in enumerate(hashes.view(np.int64))]
+                inner = own_names(words, *words_by_case(text))[0] - names if own else ()
+                if inner:
+                    wider = np.fromiter((Canon.NAME if w in inner and c not in fixed else c for w, c in zip(words, codes)), np.uint64, len(words))
+                    again = window_hashes(wider, width)
+                    rows.extend((int(again.view(np.int64)[k]), item, True, width, words[k : k + width]) for k in np.flatnonzero(again != hashes).tolist())
+                for start in range(0, len(rows), 50_000):
+                    yield _rows(rows[start : start + 50_000], schema)
+
+    return items.select("item_id", "text").mapInArrow(run, _WINDOWS)
+
+
+def _candidates(sieve: np.ndarray, sizes: list[int], names: set[str], ordinary: set[str], units: Collection[str], number_words: Collection[str], own: bool):
+    """Windows of texts that pass the sieve: ``first`` with the names of the lexicon, the others with the text's own; n alike in a text."""
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("hash", pa.int64()), ("first", pa.bool_()), ("n", pa.int64()), ("words", pa.list_(pa.string()))])
+
+    def passing(codes: np.ndarray, size: int, ends: np.ndarray, held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, texts and hashes of windows inside one text that pass and whose hash is none of ``held``, to which all are added."""
+        hashes = window_hashes(codes, size)
+        maybe = sieve[hashes >> np.uint64(64 - FILTER_BITS)]
+        for before in held:
+            maybe &= hashes != before
+        held.append(hashes)
+        at = np.flatnonzero(maybe)
+        text = np.searchsorted(ends, at, "right")
+        inside = at + size <= ends[text]
+        return at[inside], text[inside], hashes[at[inside]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        canon = Canon(index.names)
+        canon = Canon(names, units, number_words)
         for batch in batches:
-            docs = batch.column(0).to_pylist()
+            numbers, docs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             words: list[str] = []
             lengths, marks = np.zeros(batch.num_rows, np.int64), bytearray()
-            for k, text in enumerate(batch.column(1).to_pylist()):
+            for k, text in enumerate(batch.column(2).to_pylist()):
                 if not text:
                     continue
-                low = text.lower()
-                own = plain_words(low)
-                words.extend(own)
-                lengths[k] = len(own)
-                if reparameterised:
-                    inner, initial = own_names(own, *words_by_case(text))
-                    kind = {w: 1 + 2 * (w in index.ordinary) for w in inner} | {w: 2 + 2 * (w in index.ordinary) for w in initial}
-                    marks.extend([kind.get(w, 0) for w in own])
+                mine = plain_words(text.lower())
+                words.extend(mine)
+                lengths[k] = len(mine)
+                if own:
+                    inner, initial = own_names(mine, *words_by_case(text))
+                    kind = {w: 1 + 2 * (w in ordinary) for w in inner} | {w: 2 + 2 * (w in ordinary) for w in initial}
+                    marks.extend([kind.get(w, 0) for w in mine])
             if not words:
                 continue
-            codes = np.fromiter(map(canon.__getitem__, words), np.uint64, len(words))
-            hits: dict[tuple[int, int], list[int]] = {}
-            for text, item, exact in matches(words, codes, lengths):
-                hits.setdefault((text, item), [0, 0])[not exact] += 1
-            if reparameterised:  # again, with each text's own names
+            codes, ends = np.fromiter(map(canon.__getitem__, words), np.uint64, len(words)), np.cumsum(lengths)
+            views = [codes]
+            if own:  # again, with each text's own names
                 # 1: inside sentences, 2: only at the begin of one, 3 and 4: likewise, but ordinary words of the items. A word that begins a sentence
                 # may be either, and so may any in a text of capitals only
                 mark = np.frombuffer(marks, np.uint8) * ((codes != np.uint64(Canon.NUMBER)) & (codes != np.uint64(Canon.UNIT)))
-                before: dict[int, list[np.ndarray]] = {}
-                for kinds in ((1, 3), (1, 2, 3), (1, 2, 3, 4), (1, 2)):
-                    wider = np.where(np.isin(mark, kinds), np.uint64(Canon.NAME), codes)
-                    for text, item, exact in matches(words, wider, lengths, True, before):
-                        if not exact:
-                            hit = hits.setdefault((text, item), [0, 0])
-                            hit[1] = max(hit[1], 1)
-            rows = [(docs[t], i, "exact" if n[0] else "reparameterised", n[0] or n[1]) for (t, i), n in hits.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+                views += [np.where(np.isin(mark, kinds), np.uint64(Canon.NAME), codes) for kinds in ((1, 3), (1, 2, 3), (1, 2, 3, 4), (1, 2))]
+            seen: dict[tuple, int] = {}
+            for size in sizes:
+                held: list[np.ndarray] = []
+                for view, of in enumerate(views):
+                    for at, text, h in zip(*(x.tolist() for x in passing(of, size, ends, held))):
+                        key = (text, h - (1 << 64) if h >> 63 else h, view == 0, tuple(words[at : at + size]))
+                        seen[key] = seen.get(key, 0) + 1
+                    if len(seen) > 200_000:
+                        yield _rows([(numbers[t], docs[t], h, first, n, w) for (t, h, first, w), n in seen.items()], schema)
+                        seen.clear()
+            yield _rows([(numbers[t], docs[t], h, first, n, w) for (t, h, first, w), n in seen.items()], schema)
 
     return run
 
 
-def leaked_items(texts: DataFrame, items: DataFrame, *, size: int = 10, reparameterised: bool = True, block_words: int = BLOCK_WORDS) -> DataFrame:
+def leaked_items(
+    texts: DataFrame, items: DataFrame, *, size: int = 10, reparameterised: bool = True, least_equal: float = 0.5, units: Collection[str] = UNITS, number_words: Collection[str] = NUMBER_WORDS
+) -> DataFrame:
     """``(doc_id, item_id, kind, windows)``: texts holding ``size`` consecutive plain words of an item, or all words of a shorter item.
 
-    kind 'exact', or 'reparameterised' where only numbers, names and units differ, consistently; ``windows`` counts the
-    matching window pairs of that kind (of a re-parameterised hit with names the items never use, at least one). Items without a word match nothing; null, empty and
-    blank texts hold nothing. A name is a word that the items write with a capital inside sentences and never in lower case, or one that the single item or
-    text never writes without a capital. Items go to the tasks in blocks of about ``block_words`` words, one scan of the texts for each.
-    Repeated text rows give repeated rows; equal items are reported each. Empty tables give no row.
+    kind 'exact', or 'reparameterised' where only numbers, names and units differ, consistently (each value of the item stands for one of the text and the other way
+    round), and at least the share ``least_equal`` of the window's words is the same; ``windows`` counts the matching window pairs of that kind (of a re-parameterised
+    hit with names the items never use, at least one). Items without a word match nothing; null, empty and blank texts hold nothing. A number is a word that begins with a
+    digit or is one of ``number_words``, a unit one of ``units``; a name is a word that the items write with a capital inside sentences and never in lower case, or one
+    that the single item or text never writes without a capital. Repeated text rows give repeated rows; equal items are reported each. Empty tables give no row.
+
+    The texts are scanned once, however many items there are. The items' windows are broadcast where their counted number is small and else joined by shuffle.
     """
     spark = texts.sparkSession
-    sized = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter(F.length("text") > 0)
-    total = sized.agg(F.sum(F.length("text") / 5)).first()[0] or 0
-    blocks = max(1, int(-(-total // block_words)))
-    names, ordinary = item_lexicon(sized) if reparameterised else (set(), set())
-    source = texts.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = None
-    for b in range(blocks):
-        block = [(r[0], r[1]) for r in sized.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()]
-        shipped = spark.sparkContext.broadcast(ItemIndex(block, size, names, ordinary))  # of bounded size
-
-        def run(batches, shipped=shipped):
-            yield from _scan(shipped.value, reparameterised)(batches)
-
-        one = source.mapInArrow(run, "doc_id long, item_id long, kind string, windows int")
-        found = one if found is None else found.unionByName(one)
-    return found
+    given = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter(F.length("text") > 0)
+    names, ordinary = item_lexicon(given) if reparameterised else (set(), set())
+    units, number_words = set(units), set(number_words)
+    windows = cut(item_windows(given, size, names, units, number_words, reparameterised), "windows")
+    count = windows.count()
+    sizes = [r[0] for r in windows.select("size").distinct().collect()]  # at most ``size`` many
+    sieve = np.zeros(1 << FILTER_BITS, bool)
+    bits = windows.select(F.shiftrightunsigned("hash", 64 - FILTER_BITS).alias("b")).distinct().toArrow()  # at most 2 ** FILTER_BITS many
+    sieve[bits.column(0).to_numpy()] = True
+    shipped = spark.sparkContext.broadcast((sieve, sizes, names, ordinary, units, number_words, reparameterised))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _candidates(*shipped.value)(batches)
+
+    source = texts.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    wanted = broadcast_if_small(windows.select("hash", "item_id", "other", F.col("words").alias("wanted")), count, WINDOW_BYTES)
+    met = source.mapInArrow(run, _CANDIDATES).join(wanted, "hash").filter(F.size("words") == F.size("wanted"))
+    same = F.col("words") == F.col("wanted")
+    pairs = F.arrays_zip("wanted", "words")
+    equal = F.aggregate(F.zip_with("wanted", "words", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x)
+    values = F.size(F.array_distinct(pairs))
+    agree = (F.size(F.array_distinct("wanted")) == values) & (F.size(F.array_distinct("words")) == values) & (equal >= F.lit(least_equal) * F.size("words"))
+    by_lexicon = F.col("first") & ~F.col("other")
+    kinds = F.when(same, F.when(by_lexicon, 1)).when(F.lit(reparameterised) & agree, F.when(by_lexicon, 2).otherwise(3))
+    judged = met.select("row", "doc_id", "item_id", "n", kinds.alias("kind")).filter("kind IS NOT NULL")
+    total = lambda k: F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0))
+    hits = judged.groupBy("row", "doc_id", "item_id").agg(total(1).alias("exact"), F.greatest(total(2), F.max((F.col("kind") == 3).cast("long"))).alias("other"))
+    exact = F.col("exact") > 0
+    return hits.select("doc_id", "item_id", F.when(exact, "exact").otherwise("reparameterised").alias("kind"), F.when(exact, F.col("exact")).otherwise(F.col("other")).cast("int").alias("windows"))

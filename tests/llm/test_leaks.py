@@ -6,6 +6,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
+from skeinwork.llm import leaks
 from skeinwork.llm.leaks import cased, leaked_items, plain_words, window_hashes, words_by_case
 
 DOCS, ITEMS = "doc_id long, text string, item_id long, kind string", "item_id long, text string, doc_id long, size int"
@@ -37,9 +38,8 @@ def test_exact(spark):
     docs += [(200 + k, say(8) + "... " + items[k][1].upper().replace(" ", "-- ") + "! " + say(5)) for k in range(40)] + [(300, None), (301, ""), (302, "PARIS"), (303, say(20_000)), (302, "paris")]
     t, i = tables(spark, docs, items)
     want = brute(docs, items)
-    for options in ({}, {"block_words": 60}):
-        got = leaked_items(t, i, reparameterised=False, **options)
-        assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
+    got = leaked_items(t, i, reparameterised=False)
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
     full = leaked_items(t, i)
     assert {(r["doc_id"], r["item_id"]) for r in full.filter("kind = 'exact'").collect()} == want
     assert leaked_items(t.limit(0), i).count() == 0 and leaked_items(t, i.limit(0)).count() == 0
@@ -62,10 +62,64 @@ def test_names_are_those_of_each_text(spark):
     same = "He said: When the storm hit Rose, 15 ships carried 90 tons of grain to Mark before 15 noon"
     docs = [(1, same), (2, "a rose will mark the spot"), (3, "\u201c" + same + "\u201d \u0130"), (4, "the \u00e9t\u00e9 of rose and mark"), (5, same.replace("Rose", "Garnok")), (6, same.upper())]
     t, i = tables(spark, docs, [(7, item), (8, "it is velmora and dastin, in lower case")])
-    for options in ({}, {"block_words": 10}):
-        for parts in (1, 6):
-            got = {(r["doc_id"], r["item_id"], r["kind"]) for r in leaked_items(t.repartition(parts), i, **options).collect()}
-            assert {(d, 7, "reparameterised") for d in (1, 3, 5)} <= got and not {g for g in got if g[0] in (2, 4)}
+    for parts in (1, 6):
+        got = {(r["doc_id"], r["item_id"], r["kind"]) for r in leaked_items(t.repartition(parts), i).collect()}
+        assert {(d, 7, "reparameterised") for d in (1, 3, 5)} <= got and not {g for g in got if g[0] in (2, 4)}
+
+
+def planted(seed=5, count=60):
+    """``(docs, items, truth)``: items of ordinary words with names, numbers and units; each in one text as it is, in one with all slots changed, in one with slots changed inconsistently."""
+    rng = random.Random(seed)
+    syllables = [a + b for a in "bcdfglmnprstv" for b in "aeiou"]
+    word = lambda n: "".join(rng.choice(syllables) for _ in range(n))
+    plain = sorted({word(2) for _ in range(300)})
+    fresh = lambda: word(4).capitalize()
+
+    def sentence():
+        a, b, c = fresh(), fresh(), rng.randrange(10, 5000)
+        parts = [rng.choice(plain) for _ in range(16)]
+        for slot, at in zip(("{a}", "{c}", "{b}", "{a}", "{c}"), (1, 4, 7, 9, 12)):
+            parts[at] = slot
+        return " ".join(parts), {"a": a, "b": b, "c": c}
+
+    noise = lambda: " ".join(rng.choice(plain) for _ in range(40))
+    docs, items, truth = [], [], set()
+    for k in range(count):
+        text, values = sentence()
+        items.append((k, text.format(**values)))
+        docs.append((3 * k, f"{noise()}. {text.format(**values)}. {noise()}"))
+        docs.append((3 * k + 1, f"{noise()}. {text.format(a=fresh(), b=fresh(), c=rng.randrange(5000, 9000))}. {noise()}"))
+        crossed = text
+        for slot in ("{a}", "{b}", "{c}"):
+            while slot in crossed:
+                crossed = crossed.replace(slot, fresh() if slot != "{c}" else str(rng.randrange(10_000)), 1)
+        docs.append((3 * k + 2, f"{noise()}. {crossed}. {noise()}"))
+        truth |= {(3 * k, k, "exact"), (3 * k + 1, k, "reparameterised")}
+    return docs, items, truth
+
+
+def test_planted_cases_whatever_the_batches_and_the_join(spark, monkeypatch):
+    docs, items, truth = planted()
+    t, i = tables(spark, docs, items)
+    results = []
+    for batch, limit in (("10000", 256), ("1", 256), ("10000", 1 << 40)):
+        monkeypatch.setattr(leaks, "WINDOW_BYTES", limit)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        results.append(sorted((r["doc_id"], r["item_id"], r["kind"], r["windows"]) for r in leaked_items(t.repartition(3), i).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    assert results[0] == results[1] == results[2]
+    got = {r[:3] for r in results[0]}
+    assert len(got & truth) >= 0.98 * len(truth)  # recall
+    # a window of ten words holds each crossed slot once or twice, so some of the inconsistent texts agree within a window; nothing else is found
+    assert {d for d, i_, k in got - truth} <= {3 * k + 2 for k in range(60)}
+
+
+def test_units_and_numbers_are_parameters(spark):
+    t, i = tables(spark, [(1, "they carried seven blorps of dry sand over the old hill"), (2, "they carried nine blorps of dry sand over the old hill")], [(1, "they carried nine spengs of dry sand over the old hill")])
+    assert not leaked_items(t, i).count()
+    assert {(r["doc_id"], r["kind"]) for r in leaked_items(t, i, units=("blorps", "spengs")).collect()} == {(1, "reparameterised"), (2, "reparameterised")}
+    assert {r["doc_id"] for r in leaked_items(t, i, units=("blorps", "spengs"), number_words=()).collect()} == {2}
+    assert not leaked_items(t, i, units=("blorps", "spengs"), least_equal=0.95).count()
 
 
 def test_case_of_words():
