@@ -15,9 +15,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut, drop_cut
+from .topk import sample
 
 #: Numbers of one block of centroids, centroids times distinct keys, at most.
 BLOCK_CELLS = 8_000_000
+PART = "__part"
 
 
 def _nearest(ids: np.ndarray, names: np.ndarray, dense: np.ndarray, euclidean: bool):
@@ -99,35 +101,62 @@ def first_ids(vectors: DataFrame, count: int) -> list[int]:
 
 
 def random_ids(vectors: DataFrame, count: int, seed: int) -> list[int]:
-    """``count`` ids without replacement, by seeded hash."""
-    return [r[0] for r in vectors.select("id").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(count).collect()]
+    """``count`` ids without replacement, by seeded lot."""
+    return [r[0] for r in sample(vectors.select("id"), "id", count, seed).collect()]
 
 
 def _distances(vectors: DataFrame, seed_id: int) -> DataFrame:
-    """``(id, d2)``: squared Euclidean distance to one vector."""
+    """``(id, d2)``: squared Euclidean distance to one vector, sent to the tasks as sorted arrays."""
     row = vectors.filter(F.col("id") == seed_id).first()
-    weights = F.map_from_arrays(F.lit(list(row["keys"])), F.lit([float(v) for v in row["values"]])) if row["keys"] else F.create_map(F.lit(-1).cast("long"), F.lit(0.0))
-    dot = F.aggregate(F.zip_with("keys", "values", lambda k, v: v * F.coalesce(F.try_element_at(weights, k), F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
-    size = F.aggregate("values", F.lit(0.0), lambda s, v: s + v * v)
-    return vectors.select("id", (size - 2 * dot + F.lit(float(sum(v * v for v in row["values"])))).alias("d2"))
+    names, weights = np.array(row["keys"], np.int64), np.array(row["values"], np.float64)
+    shipped = vectors.sparkSession.sparkContext.broadcast((names, weights))  # one vector
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, weights = shipped.value
+        size = float(weights @ weights)
+        for batch in batches:
+            keys, values = batch.column("keys"), batch.column("values")
+            offsets = keys.offsets.to_numpy() - keys.offsets[0].as_py()
+            flat_keys, flat = keys.flatten().to_numpy(zero_copy_only=False), values.flatten().to_numpy(zero_copy_only=False)
+            own = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            d2 = np.bincount(own, flat * flat, batch.num_rows) + size
+            if len(names):
+                at = np.minimum(np.searchsorted(names, flat_keys), len(names) - 1)
+                d2 = d2 - 2 * np.bincount(own, np.where(names[at] == flat_keys, flat * weights[at], 0.0), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(d2)], names=["id", "d2"])
+
+    if PART not in vectors.columns:
+        return vectors.select("id", "keys", "values").mapInArrow(run, "id long, d2 double")
+
+    def with_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for out in run(iter([batch])):
+                yield pa.RecordBatch.from_arrays([*out.columns, batch.column(PART)], names=["id", "d2", PART])
+
+    return vectors.select("id", "keys", "values", PART).mapInArrow(with_part, f"id long, d2 double, {PART} int")
+
+
+def _by_ranges(rows: DataFrame) -> DataFrame:
+    """``rows`` written by ranges of id, with the number of the range."""
+    return cut(rows.repartitionByRange("id").withColumn(PART, F.spark_partition_id()), "ranges")
 
 
 def weighted_pick(distances: DataFrame, u: float) -> DataFrame:
-    """One row ``(id)``: the first id, in id order, whose running sum of ``d2`` exceeds ``u`` times the total.
+    """One row ``(id)``: the first id, in id order, whose running sum of ``d2`` exceeds ``u`` times the total; no row of an empty table, null where no sum does.
 
-    Sums are first taken over blocks of ids; the running sum inside is taken in the one block that holds the pick.
+    Ids are parted by ranges, unless they already are; the driver sees one sum a range, and the running sum is taken in the one that holds the pick.
     """
-    blocks = F.floor(F.col("id") / 65536)
-    sums = distances.groupBy(blocks.alias("block")).agg(F.sum("d2").alias("s")).orderBy("block").collect()  # one row a 65536 ids
+    placed = distances if PART in distances.columns else _by_ranges(distances)
+    sums = sorted(placed.groupBy(PART).agg(F.sum("d2").alias("s"), F.min("id").alias("first")).collect(), key=lambda r: r["first"])  # one row a range
     total, before = sum(r["s"] for r in sums), 0.0
-    chosen = sums[-1]["block"] if sums else 0
+    chosen = sums[-1][PART] if sums else 0
     for r in sums:
         if before + r["s"] > u * total:
-            chosen = r["block"]
+            chosen = r[PART]
             break
         before += r["s"]
     running = F.sum("d2").over(W.partitionBy(F.lit(0)).orderBy("id"))
-    inside = distances.filter(blocks == chosen).withColumn("c", running + F.lit(before))
+    inside = placed.filter(F.col(PART) == chosen).withColumn("c", running + F.lit(before))
     return inside.filter(F.col("c") > F.lit(u * total)).agg(F.min("id").alias("id"))
 
 
@@ -136,12 +165,13 @@ def plus_plus_ids(vectors: DataFrame, count: int, draws: Sequence[float], *, nea
 
     ``draws`` are the uniform numbers, one a seed after the first. ``nearest`` weighs by the distance to the nearest seed instead.
     """
+    vectors = _by_ranges(vectors.select("id", "keys", "values"))
     chosen = first_ids(vectors, 1)
     kept = None
     for u in draws[: count - 1]:
         d = _distances(vectors, chosen[-1])
         if nearest and kept is not None:
-            d = d.withColumnRenamed("d2", "new").join(kept, "id").select("id", F.least("new", "d2").alias("d2"))
+            d = d.withColumnRenamed("d2", "new").join(kept.drop(PART), "id").select("id", F.least("new", "d2").alias("d2"), PART)
         if nearest:
             kept = d = cut(d, "distances")
         chosen.append(weighted_pick(d, u).first()[0])

@@ -47,5 +47,5 @@ def fuse(relevance: DataFrame, rank: DataFrame, combine: Callable[[Column, Colum
 
 def run_lines(ranked: DataFrame, run: str) -> DataFrame:
     """``(query_name, rank, line)``: 'query Q0 doc rank score run'."""
-    score = F.coalesce(F.format_string("%.6f", "score"), F.lit("-inf"))
+    score = F.when(F.col("score").isNull(), "-inf").otherwise(F.format_string("%.6f", "score"))
     return ranked.select("query_name", "rank", F.concat_ws(" ", "query_name", F.lit("Q0"), "doc_id", "rank", score, F.lit(run)).alias("line"))

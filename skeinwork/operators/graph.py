@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, drop_cut
+from ..session import broadcast_if_small, cut, drop_cut
 
 DAMPING, TOPIC_SHARE, ITERATIONS = 0.8, 0.99, 10
 #: Iterations between written tables.
@@ -53,7 +53,7 @@ def rank_vectors(cells: DataFrame, p0: DataFrame, targets: DataFrame | None, nam
         names, nodes = [None], nodes.withColumn("t_0", F.lit(0.0))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     base = cut(nodes.select("doc_id", zero("p0").alias("p0"), *((F.lit(1 - damping) * (F.lit(1 - share) * zero("p0") + F.lit(share) * zero(f"t_{k}"))).alias(f"b_{k}") for k in range(len(names)))), "base")
-    edges = cut(cells.repartition("src"), "edges")
+    edges = cut(cells, "edges")
     rank = base.select("doc_id", *(F.col("p0").alias(f"r_{k}") for k in range(len(names))))
     previous = None
     for i in range(iterations):
@@ -78,6 +78,16 @@ def topic_ranks(cells: DataFrame, p0: DataFrame, topics: DataFrame, names: Seque
     return wide.select("doc_id", F.explode(pairs).alias("x")).select("x.topic_id", "doc_id", "x.r")
 
 
-def mixed_rank(ranks: DataFrame, distribution: DataFrame) -> DataFrame:
-    """``(query_name, doc_id, r)``: topic ranks weighted by ``distribution(query_name, topic_id, p)``; the topic ranks are computed once for all queries."""
-    return ranks.join(distribution, "topic_id").groupBy("query_name", "doc_id").agg(F.sum(F.col("p") * F.col("r")).alias("r"))
+def mixed_rank(ranks: DataFrame, distribution: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """``(query_name, doc_id, r)``: topic ranks weighted by ``distribution(query_name, topic_id, p)``; the topic ranks are computed once for all queries.
+
+    ``pairs(query_name, doc_id)`` limits the result to the listed documents of each query: those meet their ranks by document, and only then the distribution by query and
+    topic, so nothing is made for unlisted ones. Without it every query has every ranked document.
+    """
+    distribution = cut(distribution.select("query_name", "topic_id", "p"), "distribution")
+    small = broadcast_if_small(distribution, distribution.count(), 64)
+    if pairs is None:
+        met = ranks.join(small, "topic_id")
+    else:
+        met = pairs.select("query_name", "doc_id").distinct().join(ranks, "doc_id").join(small, ["query_name", "topic_id"])
+    return met.groupBy("query_name", "doc_id").agg(F.sum(F.col("p") * F.col("r")).alias("r"))

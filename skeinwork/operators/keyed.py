@@ -32,13 +32,13 @@ def number_chunks(df: DataFrame, key: Sequence[str] | str, *, order: str | None
     rows = cut(df.withColumn(PART, F.spark_partition_id()).withColumn(LOCAL, F.monotonically_increasing_id()), "keyed")
     per_part = cut(rows.groupBy(*keys, PART).agg(F.count(F.lit(1)).alias("__n")), "keyed-counts")
     totals = per_part.groupBy(*keys).agg(F.sum("__n").alias("__total"))
+    everything = per_part.agg(F.sum("__n")).first()[0] or 0
     if chunk_rows is None:
-        everything = per_part.agg(F.sum("__n")).first()[0] or 0
         chunk_rows = max(1, -(-everything // parallelism(spark)))
     heavy = totals.filter(F.col("__total") > chunk_rows).select(*keys)
     # At most rows / chunk_rows keys are heavy, and each has one count a partition.
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-    held = per_part.alias("l").join(F.broadcast(heavy.alias("r")) if chunk_rows >= 1000 else heavy.alias("r"), same).select("l.*")
+    held = per_part.alias("l").join(broadcast_if_small(heavy, everything // chunk_rows, 64).alias("r"), same).select("l.*")
     before = W.partitionBy(*keys).orderBy(PART).rowsBetween(W.unboundedPreceding, -1)
     offsets = cut(held.select(*keys, PART, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset")), "keyed-offsets")
     small = broadcast_if_small(offsets, offsets.count(), 64)

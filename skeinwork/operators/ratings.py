@@ -9,11 +9,11 @@ NEUTRAL = 3.0
 
 
 def clean_ratings(log: DataFrame) -> DataFrame:
-    """``(user_id, item_id, score, x)`` of a log ``(pos, movieid, userid, score)``: valid ids and scores 1 to 5, the last line of a pair, x = score - 3."""
+    """``(user_id, item_id, score, x, pos)`` of a log ``(pos, movieid, userid, score)``: valid ids and scores 1 to 5, the last line of a pair, x = score - 3."""
     score = F.col("score")
     valid = (F.col("movieid") > 0) & (F.col("userid") > 0) & score.isNotNull() & ~F.isnan(score) & score.between(1, 5)
     last = log.filter(valid).groupBy(F.col("userid").alias("user_id"), F.col("movieid").alias("item_id")).agg(F.max(F.struct("pos", "score")).alias("r"))
-    return last.select("user_id", "item_id", F.col("r.score").alias("score"), (F.col("r.score") - NEUTRAL).alias("x"))
+    return last.select("user_id", "item_id", F.col("r.score").alias("score"), (F.col("r.score") - NEUTRAL).alias("x"), F.col("r.pos").alias("pos"))
 
 
 def _figures(prefix: str, condition: Column | None, with_counts: bool) -> list[Column]:
@@ -40,12 +40,12 @@ def standardised(ratings: DataFrame, *, as_written: bool = False) -> DataFrame:
     """``ratings`` with ``unit``: scores minus their item's mean, scaled to length 1 by item.
 
     ``as_written`` follows the original arithmetic: the sum of an item's scores over the rating count of the last line's
-    item, a further 3 subtracted, and items whose imputed scores are all 0 left raw.
+    item, a further 3 subtracted, and items whose imputed scores are all 0 left raw. The last line is that of the largest ``pos``, ties to the larger user, then item.
     """
     per_item = ratings.groupBy("item_id").agg(F.avg("score").alias("__mean"), F.sum("score").alias("__sum"), F.count(F.lit(1)).alias("__n"), F.max(F.abs("x")).alias("__live"))
     joined = ratings.join(per_item, "item_id")
     if as_written:
-        last = ratings.agg(F.max_by("item_id", F.struct("pos", "user_id", "item_id")).alias("item_id")) if "pos" in ratings.columns else ratings.agg(F.max("item_id").alias("item_id"))
+        last = ratings.agg(F.max_by("item_id", F.struct("pos", "user_id", "item_id")).alias("item_id"))
         count = per_item.join(last, "item_id").first()
         stale = float(count["__n"]) if count else 1.0
         centred = joined.withColumn("c", F.when(F.col("__live") > 0, F.col("score") - F.col("__sum") / stale - NEUTRAL).otherwise(F.col("x")))

@@ -52,9 +52,15 @@ def group_positions(rows: DataFrame, groups: Sequence[str], order: Sequence[Colu
     return joined.select("l.*", (F.col("r.__before") + F.col("l.__row") - F.col("r.__first") + 1).alias(name)).drop("__part", "__row")
 
 
+def lot(key: str, seed: int) -> Column:
+    """A seeded lot of an integer ``key``: its place on a multiplicative generator's cycle, the same in any engine."""
+    mixed = F.pmod(F.pmod(F.col(key).cast("long"), F.lit(2147483647)) * 48271 + (seed + 1) * 69621, F.lit(2147483647))
+    return F.pmod(mixed * 1103515245, F.lit(2147483647))
+
+
 def sample(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """``n`` rows without replacement, by seeded hash of ``key``."""
-    return rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    """``n`` rows without replacement, by seeded :func:`lot` of the integer ``key``, ties to the smaller key."""
+    return rows.orderBy(lot(key, seed), key).limit(n)
 
 
 def first_appearance(rows: DataFrame, key: str, pos: str = "pos") -> DataFrame:

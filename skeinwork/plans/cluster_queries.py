@@ -9,9 +9,10 @@ from ..operators import cluster as C
 from ..operators import knn as K
 from ..operators import metrics as M
 from ..operators import text as T
+from ..operators import topk
 from ..session import cut, table
 
-CLUSTERS = 20
+CLUSTERS, THRESHOLD, STOP_ROUNDS = 20, 10, 6
 DRAWS = [(k * 0.37 + 0.11) % 1 for k in range(CLUSTERS - 1)]
 
 
@@ -32,6 +33,12 @@ def _run(spark, folder, *, euclidean=False, iterations=3, tfidf=False):
     return v, C.kmeans(v, C.seeds_from(v, C.first_ids(v, CLUSTERS)), CLUSTERS, euclidean=euclidean, iterations=iterations, threshold=-1)
 
 
+def _stopped(spark, folder):
+    """At most STOP_ROUNDS rounds, ended by the first in which THRESHOLD assignments or fewer change."""
+    v = cut(_vectors(_tf(spark, folder)), "vectors")
+    return C.kmeans(v, C.seeds_from(v, C.first_ids(v, CLUSTERS)), CLUSTERS, iterations=STOP_ROUNDS, threshold=THRESHOLD).select(F.col("id").alias("doc_id"), "cluster_id")
+
+
 def _assigned(**options):
     return lambda s, d: _run(s, d, **options)[1].select(F.col("id").alias("doc_id"), "cluster_id")
 
@@ -56,6 +63,11 @@ def _plus_plus(spark, folder):
     return C.weighted_pick(C._distances(v, C.first_ids(v, 1)[0]), DRAWS[0])
 
 
+def _plus_plus_ids(spark, folder):
+    v = cut(_vectors(_tf(spark, folder)), "vectors")
+    return spark.createDataFrame(list(enumerate(C.plus_plus_ids(v, CLUSTERS, DRAWS))), "cluster_id long, doc_id long")
+
+
 def _seeded(kind: str):
     def query(spark, folder):
         v = cut(_vectors(_tf(spark, folder)), "vectors")
@@ -81,6 +93,9 @@ QUERIES = {
     "kmeans_iter3_euclid": _assigned(euclidean=True),
     "kmeans_iter3_tfidf": _assigned(tfidf=True),
     "kmeanspp_pick": _plus_plus,
+    "kmeans_stop": _stopped,
+    "kmeans_random_ids": lambda s, d: topk.sample(_tf(s, d).select("doc_id").distinct(), "doc_id", CLUSTERS, 7),
+    "kmeans_plus_plus_ids": _plus_plus_ids,
     "kmeans_random_seeded": _seeded("random"),
     "kmeans_plus_plus": _seeded("cosine"),
     "kmeans_plus_plus_euclid": _seeded("euclid"),
@@ -93,8 +108,23 @@ _T = "WITH t AS (SELECT doc_id, term, CAST(sum(freq) AS BIGINT) AS tf FROM (SELE
 _PAIRS = _E + ", p AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(x.w * y.w) AS d FROM e x JOIN e y ON x.term = y.term AND x.doc_id <> y.doc_id WHERE x.doc_id % 20 = 0 GROUP BY ALL), q AS (SELECT a, b, d, l.n AS na, r.n AS nb FROM p JOIN n l ON l.doc_id = a JOIN n r ON r.doc_id = b)"
 
 
-def _kmeans_sql(head: str, rounds: int, euclidean: bool = False) -> str:
-    steps = [head, f"c0 AS (SELECT k AS cluster_id, term, w FROM e JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM (SELECT DISTINCT doc_id FROM e ORDER BY doc_id LIMIT {CLUSTERS})) USING (doc_id))"]
+_FIRST = f"SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM (SELECT DISTINCT doc_id FROM e ORDER BY doc_id LIMIT {CLUSTERS})"
+_LOT = "(((doc_id % 2147483647) * 48271 + 8 * 69621) % 2147483647 * 1103515245) % 2147483647"
+_RANDOM = f"SELECT doc_id, row_number() OVER (ORDER BY {_LOT}, doc_id) - 1 AS k FROM (SELECT DISTINCT doc_id FROM e) QUALIFY k < {CLUSTERS}"
+
+
+def _plus_plus_sql() -> str:
+    steps = ["s0 AS MATERIALIZED (SELECT min(doc_id) AS doc_id FROM e)"]
+    for i, u in enumerate(DRAWS):
+        steps.append(f"f{i} AS MATERIALIZED (SELECT term, w FROM e WHERE doc_id = (SELECT doc_id FROM s{i}))")
+        steps.append(f"g{i} AS MATERIALIZED (SELECT n.doc_id, n.n - 2 * coalesce(x.d, 0) + (SELECT sum(w * w) FROM f{i}) AS d2 FROM n LEFT JOIN (SELECT doc_id, sum(e.w * f.w) AS d FROM e JOIN f{i} f USING (term) GROUP BY doc_id) x USING (doc_id))")
+        steps.append(f"s{i + 1} AS MATERIALIZED (SELECT min(doc_id) AS doc_id FROM (SELECT doc_id, sum(d2) OVER (ORDER BY doc_id) AS c FROM g{i}) WHERE c > {u!r}::DOUBLE * (SELECT sum(d2) FROM g{i}))")
+    steps.append("pp AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {k} AS k, doc_id FROM s{k}" for k in range(CLUSTERS)) + ")")
+    return ",\n".join(steps)
+
+
+def _kmeans_sql(head: str, rounds: int, euclidean: bool = False, seeds: str = _FIRST) -> str:
+    steps = [head, f"c0 AS (SELECT k AS cluster_id, term, w FROM e JOIN ({seeds}) USING (doc_id))"]
     for i in range(rounds):
         s = "-(n.n + m.n - 2 * coalesce(d, 0))" if euclidean else "coalesce(d, 0) / sqrt(n.n * m.n)"
         steps.append(f"m{i} AS (SELECT cluster_id, sum(w * w) AS n FROM c{i} GROUP BY cluster_id)")
@@ -115,6 +145,12 @@ SQL = {
     "kmeans_iter3": _kmeans_sql(_E, 3) + " SELECT doc_id, cluster_id FROM a2",
     "kmeans_iter3_euclid": _kmeans_sql(_E, 3, True) + " SELECT doc_id, cluster_id FROM a2",
     "kmeans_iter3_tfidf": _kmeans_sql(_T, 3) + " SELECT doc_id, cluster_id FROM a2",
+    "kmeans_stop": _kmeans_sql(_E, STOP_ROUNDS) + ", z AS (" + " UNION ALL ".join(f"SELECT {i} AS i, count(*) AS changed FROM a{i} x JOIN a{i - 1} y USING (doc_id) WHERE x.cluster_id <> y.cluster_id" for i in range(1, STOP_ROUNDS)) + f"), b AS (SELECT coalesce(min(i), {STOP_ROUNDS - 1}) AS i FROM z WHERE changed <= {THRESHOLD}) " + " UNION ALL ".join(f"SELECT doc_id, cluster_id FROM a{i} WHERE {i} = (SELECT i FROM b)" for i in range(STOP_ROUNDS)),
+    "kmeans_random_ids": f"{_E} SELECT doc_id FROM ({_RANDOM})",
+    "kmeans_plus_plus_ids": f"{_E}, {_plus_plus_sql()} SELECT k AS cluster_id, doc_id FROM pp",
+    "kmeans_random_seeded": _kmeans_sql(_E, 3, seeds=_RANDOM) + " SELECT doc_id, cluster_id FROM a2",
+    "kmeans_plus_plus": _kmeans_sql(f"{_E}, {_plus_plus_sql()}", 3, seeds="SELECT doc_id, k FROM pp") + " SELECT doc_id, cluster_id FROM a2",
+    "kmeans_plus_plus_euclid": _kmeans_sql(f"{_E}, {_plus_plus_sql()}", 3, True, seeds="SELECT doc_id, k FROM pp") + " SELECT doc_id, cluster_id FROM a2",
     "kmeanspp_pick": _E + f", f AS (SELECT term, w FROM e WHERE doc_id = (SELECT min(doc_id) FROM e)), d AS (SELECT n.doc_id, n.n - 2 * coalesce(x.d, 0) + (SELECT sum(w * w) FROM f) AS d2 FROM n LEFT JOIN (SELECT doc_id, sum(e.w * f.w) AS d FROM e JOIN f USING (term) GROUP BY doc_id) x USING (doc_id)), c AS (SELECT doc_id, sum(d2) OVER (ORDER BY doc_id) AS c FROM d) SELECT min(doc_id) AS id FROM c WHERE c > {DRAWS[0]} * (SELECT sum(d2) FROM d)",
     "macro_f1": _F1 + " SELECT * FROM f",
     "macro_f1_mean": _F1 + " SELECT round(avg(best_f1), 6) AS macro_f1, count(*) AS labels FROM f",

@@ -1,7 +1,4 @@
-"""Queries on matrix factors, pair samples, pairwise wins and rank measures.
-
-Queries named ``_all`` predict, rank and evaluate every rating; those of the same name without it hold a part, the users divisible by 20.
-"""
+"""Queries on matrix factors, pair samples, pairwise wins and rank measures, over every rating."""
 
 from __future__ import annotations
 
@@ -15,6 +12,7 @@ from ..session import cut
 from .ratings_queries import RATINGS_SQL, ratings
 
 D, RATE, PENALTY, STEPS = 5, 1e-3, 1e-4, 3
+STOP, STOP_STEPS = 0.999, 6
 COEFFICIENTS = [1.0, 0.5, -0.25, 0.75, 1.25]
 
 
@@ -45,13 +43,21 @@ def _objective(spark, folder):
     return P.objective(r, u, v, D, penalty=PENALTY).withColumn("objective", F.round("objective", 3))
 
 
-def _pairs(r: DataFrame, everyone: bool) -> DataFrame:
-    return (r if everyone else r.filter("user_id % 20 = 0")).select("user_id", "item_id", "score")
+def _pairs(r: DataFrame) -> DataFrame:
+    return r.select("user_id", "item_id", "score")
 
 
-def _predict(spark, folder, everyone: bool = False):
+def _predict(spark, folder):
     r, u, v = _fitted(spark, folder)
-    return P.predict(_pairs(r, everyone), u, v, D)
+    return P.predict(_pairs(r), u, v, D)
+
+
+def _stopped(spark, folder):
+    """The objective where the descent stops: at the first step that reaches STOP of the objective of the start, or after STOP_STEPS."""
+    r, u, v = _start(spark, folder)
+    least = P.objective(r, u, v, D, penalty=PENALTY).first()[0] * STOP
+    u, v = P.descend(r, u, v, D, rate=RATE, penalty=PENALTY, iterations=STOP_STEPS, precision=least)
+    return P.objective(r, u, v, D, penalty=PENALTY).withColumn("objective", F.round("objective", 3))
 
 
 def _pair_features(spark, folder):
@@ -59,13 +65,13 @@ def _pair_features(spark, folder):
     return _rounded(L.pair_samples(r, u, v, D), *(f"x{k}" for k in range(D)))
 
 
-def _wins(spark, folder, everyone: bool = False):
+def _wins(spark, folder):
     r, u, v = _start(spark, folder)
-    return L.pairwise_wins(_pairs(r, everyone), u, v, COEFFICIENTS)
+    return L.pairwise_wins(_pairs(r), u, v, COEFFICIENTS)
 
 
-def _ndcg(spark, folder, everyone: bool = False):
-    rows = _wins(spark, folder, everyone).select("user_id", F.col("item_id").alias("pos"), F.col("wins").alias("predicted"), F.col("score").alias("actual"))
+def _ndcg(spark, folder):
+    rows = _wins(spark, folder).select("user_id", F.col("item_id").alias("pos"), F.col("wins").alias("predicted"), F.col("score").alias("actual"))
     return M.ndcg(rows)
 
 
@@ -77,14 +83,14 @@ def _accuracy(predicted: DataFrame) -> DataFrame:
     return _rounded(M.accuracy(predicted.withColumn("predicted", F.round(F.round("predicted", 9))), "predicted", "score"), "accuracy")
 
 
-def _sweep(factors: tuple[int, ...], everyone: bool = False):
+def _sweep(factors: tuple[int, ...]):
     """Error after the steps for several numbers of factors."""
 
     def query(spark, folder):
         r, out = cut(ratings(spark, folder), "ratings"), None
         for d in factors:
             u, v = P.descend(r, P.hashed_factors(r, "user_id", "u", d), P.hashed_factors(r, "item_id", "v", d), d, rate=RATE, penalty=PENALTY, iterations=STEPS, precision=None)
-            one = _rmse(P.predict(_pairs(r, everyone), u, v, d)).select(F.lit(d).alias("factors"), "rmse")
+            one = _rmse(P.predict(_pairs(r), u, v, d)).select(F.lit(d).alias("factors"), "rmse")
             out = one if out is None else out.unionByName(one)
         return out
 
@@ -97,26 +103,21 @@ SWEEP_ALL = (2, 5, 10, 20, 50, 100)
 CUTS = ["ndcg_10", "ndcg_20", "ndcg_30"]
 QUERIES = {
     "factor_sweep": _sweep(SWEEP),
-    "factor_sweep_all": _sweep(SWEEP_ALL, True),
+    "factor_sweep_all": _sweep(SWEEP_ALL),
+    "pmf_stop": _stopped,
     "pmf_step": _factors("v", 1),
     "pmf_iter3_users": _factors("u", STEPS),
     "pmf_iter3_items": _factors("v", STEPS),
     "pmf_objective": _objective,
     "pmf_predict": lambda s, d: _rounded(_predict(s, d), "predicted").select("user_id", "item_id", "predicted"),
-    "pmf_predict_all": lambda s, d: _rounded(_predict(s, d, True), "predicted").select("user_id", "item_id", "predicted"),
     "pair_features": _pair_features,
     "pair_sample_stats": lambda s, d: L.sample_stats(ratings(s, d)),
     "pair_user_samples": lambda s, d: L.user_samples(ratings(s, d)),
     "pairwise_wins": lambda s, d: _wins(s, d).select("user_id", "item_id", "wins"),
-    "pairwise_wins_all": lambda s, d: _wins(s, d, True).select("user_id", "item_id", "wins"),
     "ndcg_at_k": lambda s, d: _rounded(_ndcg(s, d), *CUTS),
-    "ndcg_at_k_all": lambda s, d: _rounded(_ndcg(s, d, True), *CUTS),
     "ndcg_mean": lambda s, d: _rounded(M.ndcg_mean(_ndcg(s, d)), *CUTS),
-    "ndcg_mean_all": lambda s, d: _rounded(M.ndcg_mean(_ndcg(s, d, True)), *CUTS),
     "rmse": lambda s, d: _rmse(_predict(s, d)),
-    "rmse_all": lambda s, d: _rmse(_predict(s, d, True)),
     "accuracy": lambda s, d: _accuracy(_predict(s, d)),
-    "accuracy_all": lambda s, d: _accuracy(_predict(s, d, True)),
 }
 
 _F = range(D)
@@ -152,14 +153,21 @@ def _out(key: str, p: str) -> str:
     return f" SELECT {key}, " + ", ".join(f"round({p}{k}, 6) + 0.0 AS {p}{k}" for k in _F) + f" FROM {p}z"
 
 
-_PRED = _steps_sql(STEPS) + f", p AS (SELECT user_id, item_id, score, {_DOT} + 3 AS predicted FROM r JOIN uz USING (user_id) JOIN vz USING (item_id) WHERE user_id % 20 = 0)"
+def _objective_sql(step: int) -> str:
+    """The objective after ``step`` steps from 0; -1 for the start."""
+    u, v = ("ua", "va") if step < 0 else (f"u{step}", f"v{step}")
+    lengths = [" + ".join(f"sum({p}{k}) ** 2" for k in _F) for p in "uv"]
+    return f"SELECT {step} AS i, (SELECT sum((x - ({_DOT})) ** 2) FROM r JOIN {u} USING (user_id) JOIN {v} USING (item_id)) + {PENALTY}::DOUBLE * ((SELECT {lengths[0]} FROM {u}) + (SELECT {lengths[1]} FROM {v})) AS o"
+
+
+_PRED = _steps_sql(STEPS) + f", p AS (SELECT user_id, item_id, score, {_DOT} + 3 AS predicted FROM r JOIN uz USING (user_id) JOIN vz USING (item_id))"
 _ZERO = _steps_sql(0)
-_WINS = _ZERO + ", w AS (SELECT user_id, item_id, score, rank() OVER (PARTITION BY user_id ORDER BY round(" + " + ".join(f"{c} * u{k} * v{k}" for k, c in enumerate(COEFFICIENTS)) + ", 12)) - 1 AS wins FROM r JOIN uz USING (user_id) JOIN vz USING (item_id) WHERE user_id % 20 = 0)"
+_WINS = _ZERO + ", w AS (SELECT user_id, item_id, score, rank() OVER (PARTITION BY user_id ORDER BY round(" + " + ".join(f"{c} * u{k} * v{k}" for k, c in enumerate(COEFFICIENTS)) + ", 12)) - 1 AS wins FROM r JOIN uz USING (user_id) JOIN vz USING (item_id))"
 _NDCG = _WINS + ", o AS (SELECT user_id, 2 ** score - 1 AS g, row_number() OVER (PARTITION BY user_id ORDER BY wins DESC, item_id) AS p, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS q FROM w), n AS (SELECT user_id, " + ", ".join(f"sum(CASE WHEN p <= {k} THEN g / ln(p + 1) ELSE 0 END) / nullif(sum(CASE WHEN q <= {k} THEN g / ln(q + 1) ELSE 0 END), 0) AS ndcg_{k}" for k in (10, 20, 30)) + " FROM o GROUP BY user_id)"
 _PAIRS = f"f AS (SELECT h.user_id, h.item_id AS hi, l.item_id AS lo FROM r h JOIN r l ON h.user_id = l.user_id AND h.score - l.score = 4)"
 
 SQL = {
-    "factor_sweep": " UNION ALL ".join(f"(SELECT * FROM ({_steps_sql(STEPS, d)} SELECT {d} AS factors, round(sqrt(avg(({_dot(d)} + 3 - score) ** 2)), 6) AS rmse FROM r JOIN uz USING (user_id) JOIN vz USING (item_id) WHERE user_id % 20 = 0))" for d in SWEEP),
+    "factor_sweep": " UNION ALL ".join(f"(SELECT * FROM ({_steps_sql(STEPS, d)} SELECT {d} AS factors, round(sqrt(avg(({_dot(d)} + 3 - score) ** 2)), 6) AS rmse FROM r JOIN uz USING (user_id) JOIN vz USING (item_id)))" for d in SWEEP),
     "pmf_step": _steps_sql(1) + _out("item_id", "v"),
     "pmf_iter3_users": _steps_sql(STEPS) + _out("user_id", "u"),
     "pmf_iter3_items": _steps_sql(STEPS) + _out("item_id", "v"),
@@ -173,7 +181,5 @@ SQL = {
     "ndcg_mean": _NDCG + " SELECT " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in CUTS) + " FROM n",
     "rmse": _PRED + " SELECT round(sqrt(avg((predicted - score) ** 2)), 6) AS rmse FROM p",
     "accuracy": _PRED + " SELECT round(avg(CASE WHEN round(round(predicted, 9)) = score THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM p",
+    "pmf_stop": _steps_sql(STOP_STEPS) + ", o AS (" + " UNION ALL ".join(_objective_sql(i) for i in range(-1, STOP_STEPS)) + f") SELECT round(o, 3) AS objective FROM o WHERE i = (SELECT coalesce(min(i), {STOP_STEPS - 1}) FROM o WHERE i >= 0 AND o <= {STOP} * (SELECT o FROM o WHERE i = -1))",
 }
-
-_PART = " WHERE user_id % 20 = 0"
-SQL |= {f"{n}_all": SQL[n].replace(_PART, "") for n in ("pmf_predict", "pairwise_wins", "ndcg_at_k", "ndcg_mean", "rmse", "accuracy")}

@@ -62,27 +62,27 @@ def _topic_ranks(spark, folder):
     return graph.topic_ranks(*_graph(spark, folder), topics, names)
 
 
-def _rank(spark, folder, kind: str):
+def _rank(spark, folder, kind: str, pairs: DataFrame | None = None):
     if kind == "global":
         return graph.global_rank(*_graph(spark, folder))
-    return graph.mixed_rank(_topic_ranks(spark, folder), _distribution(spark, folder, kind == "personal"))
+    return graph.mixed_rank(_topic_ranks(spark, folder), _distribution(spark, folder, kind == "personal"), pairs)
 
 
 def _rounded(df: DataFrame, *columns: str, places: int = 9) -> DataFrame:
     return df.withColumns({c: F.round(c, places) for c in columns})
 
 
-def _fused(name: str, kind: str):
-    def query(spark, folder):
-        ranked = fusion.fuse(_relevance(spark, folder), _rounded(_rank(spark, folder, kind), "r", places=12), fusion.FUSIONS[name])
-        return _rounded(ranked, "score", places=6)
+def _fuse(spark, folder, name: str, kind: str):
+    lists = cut(_relevance(spark, folder), "lists")
+    return fusion.fuse(lists, _rounded(_rank(spark, folder, kind, lists), "r", places=12), fusion.FUSIONS[name])
+
 
-    return query
+def _fused(name: str, kind: str):
+    return lambda spark, folder: _rounded(_fuse(spark, folder, name, kind), "score", places=6)
 
 
 def _run_file(spark, folder):
-    ranked = fusion.fuse(_relevance(spark, folder), _rounded(_rank(spark, folder, "query"), "r", places=12), fusion.FUSIONS["cs"])
-    return fusion.run_lines(ranked, "qtspr-cs").select("query_name", "rank", F.regexp_replace("line", r" -?[\d.]+ qtspr", " qtspr").alias("line"))
+    return fusion.run_lines(_rounded(_fuse(spark, folder, "cs", "query"), "score", places=6), "qtspr-cs").select("query_name", "rank", "line")
 
 
 QUERIES = {
@@ -158,5 +158,5 @@ SQL = {
     "pagerank_query": f"{_mixed_sql('dq')} SELECT query_name, doc_id, round(r, 9) AS r FROM mix",
     "pagerank_personal": f"{_mixed_sql('du')} SELECT query_name, doc_id, round(r, 9) AS r FROM mix",
     **{f"fuse_{n}_{k}": f"{_fused_sql(n, k)} SELECT query_name, doc_id, round(score, 6) AS score, rank FROM k" for n in ("ns", "ws", "cs") for k in ("global", "query", "personal")},
-    "run_file": f"{_fused_sql('cs', 'query')} SELECT query_name, rank, query_name || ' Q0 ' || doc_id || ' ' || rank || ' qtspr-cs' AS line FROM k",
+    "run_file": f"{_fused_sql('cs', 'query')} SELECT query_name, rank, query_name || ' Q0 ' || doc_id || ' ' || rank || ' ' || coalesce(printf('%.6f', round(score, 6)), '-inf') || ' qtspr-cs' AS line FROM k",
 }

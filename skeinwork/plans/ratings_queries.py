@@ -91,6 +91,7 @@ QUERIES = {
     "rating_user_norm": _unit(lambda r: R.normalised(r, "user_id")),
     "rating_item_norm": _unit(lambda r: R.normalised(r, "item_id")),
     "rating_item_std": _unit(R.standardised),
+    "rating_item_std_as_written": _unit(lambda r: R.standardised(r, as_written=True)),
     "item_sim_dot": _item_similarity("dot"),
     "item_sim_cos": _item_similarity("cos"),
     "item_sim_std": _item_similarity("std"),
@@ -116,6 +117,10 @@ def _unit_sql(key: str) -> str:
 
 _STD = """m AS (SELECT item_id, avg(score) AS m FROM r GROUP BY item_id), c AS (SELECT user_id, item_id, round(score - m, 12) AS c FROM r JOIN m USING (item_id)),
   z AS (SELECT item_id, sqrt(sum(c * c)) AS z FROM c GROUP BY item_id), u AS MATERIALIZED (SELECT user_id, item_id, CASE WHEN z > 0 THEN c / z ELSE c END AS unit FROM c JOIN z USING (item_id))"""
+_AS_WRITTEN = """o AS (SELECT userid AS user_id, movieid AS item_id, max(pos) AS pos FROM train WHERE movieid > 0 AND userid > 0 AND score IS NOT NULL AND NOT isnan(score) AND score BETWEEN 1 AND 5 GROUP BY ALL),
+  l AS (SELECT count(*) AS n FROM r WHERE item_id = (SELECT item_id FROM o ORDER BY pos DESC, user_id DESC, item_id DESC LIMIT 1)),
+  m AS (SELECT item_id, sum(score) AS m, max(abs(x)) AS live FROM r GROUP BY item_id), c AS (SELECT user_id, item_id, round(CASE WHEN live > 0 THEN score - m / (SELECT n FROM l) - 3 ELSE x END, 12) AS c FROM r JOIN m USING (item_id)),
+  z AS (SELECT item_id, sqrt(sum(c * c)) AS z FROM c GROUP BY item_id), u AS MATERIALIZED (SELECT user_id, item_id, CASE WHEN z > 0 THEN c / z ELSE c END AS unit FROM c JOIN z USING (item_id))"""
 _ITEM_SIM = " SELECT p.item_id AS a, q.item_id AS b, round(sum(p.{v} * q.{v}), 6) + 0.0 AS s FROM {t} p JOIN {t} q ON p.user_id = q.user_id AND p.item_id <> q.item_id WHERE p.item_id % 20 = 0 AND p.{v} <> 0 AND q.{v} <> 0 GROUP BY ALL"
 
 
@@ -158,6 +163,7 @@ SQL = {
     "rating_user_norm": f"{_R}, {_unit_sql('user_id')} SELECT user_id, item_id, round(unit, 6) AS unit FROM u",
     "rating_item_norm": f"{_R}, {_unit_sql('item_id')} SELECT user_id, item_id, round(unit, 6) AS unit FROM u",
     "rating_item_std": f"{_R}, {_STD} SELECT user_id, item_id, round(unit, 6) AS unit FROM u",
+    "rating_item_std_as_written": f"{_R}, {_AS_WRITTEN} SELECT user_id, item_id, round(unit, 6) + 0.0 AS unit FROM u",
     "item_sim_dot": _R + _ITEM_SIM.format(t="r", v="x"),
     "item_sim_cos": f"{_R}, {_unit_sql('item_id')}" + _ITEM_SIM.format(t="u", v="unit"),
     "item_sim_std": f"{_R}, {_STD}" + _ITEM_SIM.format(t="u", v="unit"),

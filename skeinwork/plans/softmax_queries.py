@@ -15,6 +15,7 @@ from ..session import cut, table
 from .text_queries import _TOP, _W
 
 RATE, PENALTY, STEPS, SLICES, CLASSES = 1e-5, 1.0, 3, 4, 5
+STOP, STOP_STEPS = 0.3, 7
 FEATURES = T.VOCABULARY + 1
 
 
@@ -29,6 +30,13 @@ def _fitted(spark, folder, steps: int = STEPS, penalty: float = PENALTY):
     return rows, S.fit(rows, FEATURES, CLASSES, rate=RATE, penalty=penalty, iterations=steps, error=None)
 
 
+def _stopped(spark, folder):
+    """The objective where the relative change first lies below STOP, or after STOP_STEPS steps."""
+    rows = _rows(spark, folder)
+    w = S.fit(rows, FEATURES, CLASSES, rate=RATE, penalty=PENALTY, iterations=STOP_STEPS, error=STOP)
+    return spark.createDataFrame([(round(S.objective(S.gradient(rows, w)[1], w, PENALTY), 4),)], "objective double")
+
+
 def _weights(spark, w: np.ndarray) -> DataFrame:
     return S.weights_table(spark, w).withColumn("w", F.round("w", 9) + 0.0).filter("w <> 0")
 
@@ -75,6 +83,7 @@ QUERIES = {
     "softmax_step": lambda s, d: _weights(s, _fitted(s, d, 1)[1]),
     "softmax_iter3": lambda s, d: _weights(s, _fitted(s, d)[1]),
     "softmax_objective": _objective,
+    "softmax_stop": _stopped,
     "softmax_hard": lambda s, d: _predict(s, d).select("doc_id", "hard"),
     "softmax_soft": lambda s, d: _predict(s, d).select("doc_id", F.round("soft", 6).alias("soft")),
     "softmax_minibatch": _sliced,
@@ -109,6 +118,11 @@ def _weights_sql(n: int, sliced: bool = False) -> str:
     return f"{_X},\n{_steps_sql(n, sliced)} SELECT CAST(idx AS INT) AS idx, CAST(c AS INT) AS class, round(w, 9) + 0.0 AS w FROM w{n - 1}_ WHERE round(w, 9) <> 0"
 
 
+def _objective_sql(i: int) -> str:
+    w = "w0" if i == 0 else f"w{i - 1}_"
+    return f"SELECT {i} AS i, (SELECT sum(ln(p)) FROM (SELECT doc_id, c, exp(s) / sum(exp(s)) OVER (PARTITION BY doc_id) AS p FROM (SELECT doc_id, c, sum(val * w) AS s FROM x JOIN {w} USING (idx) GROUP BY ALL)) JOIN y USING (doc_id) WHERE label = c) - {PENALTY} / 2 * (SELECT sum(w * w) FROM {w}) AS o"
+
+
 _HARD = "SELECT doc_id, CAST(arg_min(c, k) AS INT) + 1 AS hard FROM (SELECT doc_id, c, row_number() OVER (PARTITION BY doc_id ORDER BY round(p, 12) DESC, c) AS k FROM {q}) GROUP BY doc_id"
 _SOFT = "SELECT doc_id, sum((c + 1) * p) AS soft FROM {q} GROUP BY doc_id"
 _FIT = f"{_X},\n{_steps_sql(STEPS)}"
@@ -117,6 +131,8 @@ SQL = {
     "softmax_step": _weights_sql(1),
     "softmax_iter3": _weights_sql(STEPS),
     "softmax_objective": _FIT + f" SELECT round((SELECT sum(ln(p)) FROM q JOIN y USING (doc_id) WHERE label = c) - {PENALTY} / 2 * (SELECT sum(w * w) FROM w{STEPS - 1}_), 4) AS objective",
+    # before step i the weights are those after i steps; the rule looks at objectives 1, 2, ... against the one before and the first
+    "softmax_stop": f"{_X},\n{_steps_sql(STOP_STEPS)}, o AS (" + " UNION ALL ".join(_objective_sql(i) for i in range(STOP_STEPS + 1)) + f"), seen AS (SELECT i, o, lag(o) OVER (ORDER BY i) AS last, first_value(o) OVER (ORDER BY i) AS first FROM o) SELECT round(o, 4) AS objective FROM seen WHERE i = (SELECT coalesce(min(i), {STOP_STEPS}) FROM seen WHERE i BETWEEN 1 AND {STOP_STEPS - 1} AND o <> first AND abs((o - last) / (o - first)) < {STOP})",
     "softmax_hard": f"{_FIT} {_HARD.format(q='q')}",
     "softmax_soft": f"{_FIT} SELECT doc_id, round(soft, 6) AS soft FROM ({_SOFT.format(q='q')})",
     "softmax_minibatch": _weights_sql(SLICES, True),

@@ -19,12 +19,22 @@ _written: list[str] = []
 
 
 def _clean_up() -> None:
-    """At the end of the process, deletes the tables written to a local shared folder."""
-    for path in filter(None, map(local_path, _written)):
-        shutil.rmtree(path, ignore_errors=True)
-
-
-atexit.register(_clean_up)
+    """At the end of the process, deletes the tables written to the shared folder, of any file system as long as the session lives."""
+    spark = SparkSession.getActiveSession()
+    for path in list(_written):
+        local = local_path(path)
+        if local is not None:
+            shutil.rmtree(local, ignore_errors=True)
+        elif spark is not None:
+            try:
+                _delete(spark, path)
+            except Exception:  # noqa: BLE001  (the session may be gone)
+                return
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,6 +53,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_folder(spark)}/skeinwork/{label}-{uuid.uuid4().hex}"
+    if not _written:  # after the session's own registration, so that it runs before the session ends
+        atexit.unregister(_clean_up)
+        atexit.register(_clean_up)
     _written.append(path)
     return path
 
@@ -61,10 +74,7 @@ def drop_cut(table: DataFrame | None) -> None:
     path = getattr(table, "_skeinwork_path", None)
     if path is None:
         return
-    spark = table.sparkSession
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _delete(table.sparkSession, path)
     _written.remove(path)
 
 

@@ -10,17 +10,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small, cut
+
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """``(pos, value)``: lines numbered from 0 in file order, files in order of their paths.
 
-    Large files are read in blocks; a line's number is the lines of the blocks before its own plus its place there, so nothing larger than a block is in one task.
+    Large files are read in blocks, each by one task in its order; a line's number is the lines of the blocks before its own plus its place there. Only one row a
+    block is shuffled, never a line.
     """
     raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
-    counts = raw.groupBy("f", "b").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select("f", "b", F.coalesce(F.sum("n").over(W.partitionBy(F.lit(0)).orderBy("f", "b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # one row a block
-    place = F.row_number().over(W.partitionBy("f", "b").orderBy("i"))
-    return raw.join(F.broadcast(before), ["f", "b"]).select((F.col("before") + place - 1).alias("pos"), "value")
+    counts = cut(raw.groupBy("f", "b").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("first")), "blocks")
+    before = counts.select("f", "b", "first", F.coalesce(F.sum("n").over(W.partitionBy(F.lit(0)).orderBy("f", "b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # one row a block
+    return raw.join(broadcast_if_small(before, counts.count(), 256), ["f", "b"]).select((F.col("before") + F.col("i") - F.col("first")).alias("pos"), "value")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -47,6 +49,11 @@ def parse_pairs(rows: DataFrame) -> DataFrame:
     return _parts(rows, ",").select("pos", _field("p", 0, "long").alias("item_id"), _field("p", 1, "long").alias("user_id")).filter("item_id IS NOT NULL AND user_id IS NOT NULL")
 
 
+def parse_user_pairs(rows: DataFrame) -> DataFrame:
+    """``(pos, user_id, item_id)`` of the same lines, users first: the users in order of first appearance are those of :func:`topk.first_appearance`."""
+    return parse_pairs(rows).select("pos", "user_id", "item_id")
+
+
 def parse_vectors(rows: DataFrame) -> DataFrame:
     """``(doc_id, term, tf)`` of 'term:freq term:freq ...', doc_id being the line number."""
     entries = rows.select(F.col("pos").alias("doc_id"), F.explode(F.split(F.trim("value"), r"\s+")).alias("e")).withColumn("p", F.split("e", ":"))
@@ -102,6 +109,16 @@ def parse_values(rows: DataFrame) -> DataFrame:
     return rows.select("pos", F.trim("value").try_cast("double").alias("value"))
 
 
+def parse_classes(rows: DataFrame) -> DataFrame:
+    """``(pos, hard, soft)`` of 'hard soft'."""
+    return _parts(rows, r"\s+").select("pos", _field("p", 0, "int").alias("hard"), _field("p", 1, "double").alias("soft")).filter("hard IS NOT NULL AND soft IS NOT NULL")
+
+
+def parse_rank(rows: DataFrame) -> DataFrame:
+    """``(pos, doc_id, r)`` of 'doc score'."""
+    return _parts(rows, r"\s+").select("pos", _field("p", 0, "long").alias("doc_id"), _field("p", 1, "double").alias("r")).filter("doc_id IS NOT NULL AND r IS NOT NULL")
+
+
 def parse_stop_list(rows: DataFrame) -> DataFrame:
     """``(word)``: distinct words separated by white space."""
     return rows.select(F.explode(F.split(F.trim("value"), r"\s+")).alias("word")).filter("word <> ''").distinct()
@@ -126,17 +143,31 @@ def _reader(parse):
     return read
 
 
-ratings, query_pairs, vectors = _reader(parse_ratings), _reader(parse_pairs), _reader(parse_vectors)
+ratings, query_pairs, user_pairs, vectors = _reader(parse_ratings), _reader(parse_pairs), _reader(parse_user_pairs), _reader(parse_vectors)
 dictionary, document_frequencies, clusters, gold = _reader(parse_dictionary), _reader(parse_document_frequencies), _reader(parse_clusters), _reader(parse_gold)
 edges, distribution, document_topics, values = _reader(parse_edges), _reader(parse_distribution), _reader(parse_document_topics), _reader(parse_values)
 stop_list, cleaned, coded = _reader(parse_stop_list), _reader(parse_cleaned), _reader(parse_coded)
+classes, rank_dump = _reader(parse_classes), _reader(parse_rank)
+
+
+def zipped(spark: SparkSession, pairs: str, predicted: str, gold: str) -> DataFrame:
+    """``(pos, item_id, user_id, predicted, actual)``: the query file and both lists of values, line by line; lines without a number in either list are left out."""
+    p, g = values(spark, predicted).withColumnRenamed("value", "predicted"), values(spark, gold).withColumnRenamed("value", "actual")
+    return query_pairs(spark, pairs).join(p, "pos").join(g, "pos").filter("predicted IS NOT NULL AND actual IS NOT NULL").select("pos", "item_id", "user_id", "predicted", "actual")
+
+
+def named(spark: SparkSession, folder: str, prefix: str) -> DataFrame:
+    """``(file, value)``: the lines of the files in ``folder`` whose name, or that of the folder Spark wrote them to, begins with ``prefix``."""
+    raw = spark.read.option("recursiveFileLookup", True).text(folder).select("value", F.col("_metadata.file_path").alias("f"))
+    name = F.regexp_extract("f", r"/([^/]+?)(?:/part-[^/]*)?$", 1)
+    return raw.select(name.alias("file"), "value").filter(F.col("file").startswith(prefix))
 
 
 def run_lists(spark: SparkSession, folder: str) -> DataFrame:
-    """``(query_name, doc_id, rank, score, run)`` of a folder of '<user>-<query>.results.txt' files; the name comes from the file."""
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)\.results\.txt$", 1)
-    raw = spark.read.text(folder, pathGlobFilter="*.results.txt").select("value", name.alias("query_name"))
-    return parse_run(raw)
+    """``(query_name, doc_id, rank, score, run)`` of a folder of '<user>-<query>.results.txt' files, or folders of that name as Spark writes them; the name comes from there."""
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"/(?:[^/=]*=)?([^/=]*?)\.results\.txt(?:/part-[^/]*)?$", 1)
+    raw = spark.read.option("recursiveFileLookup", True).text(folder).select("value", name.alias("query_name"))
+    return parse_run(raw.filter("query_name <> ''"))
 
 
 def reviews(spark: SparkSession, path: str) -> DataFrame:

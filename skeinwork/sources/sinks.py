@@ -26,6 +26,18 @@ def write_run(rows: DataFrame, path: str) -> None:
     write_lines(rows, path, F.col("line"), ["query_name", "rank"])
 
 
+def write_run_lists(rows: DataFrame, folder: str) -> None:
+    """Run rows ``(query_name, rank, line)`` as one '<query_name>.results.txt' a query, each a folder of ordered part files."""
+    named = rows.select(F.concat("query_name", F.lit(".results.txt")).alias("query"), "rank", F.col("line").alias("value"))
+    named.repartition("query").sortWithinPartitions("query", "rank").select("query", "value").write.mode("overwrite").partitionBy("query").text(folder)
+
+
+def write_letor(rows: DataFrame, path: str, queries: DataFrame, score: str = "score") -> None:
+    """One score a line of the query file ``queries(pos, user_id, item_id)``, in its order; pairs without a score get 0."""
+    placed = queries.select("pos", "user_id", "item_id").join(rows.select("user_id", "item_id", F.col(score).alias("__s")), ["user_id", "item_id"], "left")
+    write_scores(placed.select("pos", F.coalesce("__s", F.lit(0.0)).alias("__s")), path, "__s")
+
+
 def write_rank(rows: DataFrame, path: str) -> None:
     """'doc score' lines of ``(doc_id, r)``, descending."""
     rows.orderBy(F.desc("r"), "doc_id").select(F.concat_ws(" ", "doc_id", F.col("r").cast("string")).alias("value")).write.mode("overwrite").text(path)

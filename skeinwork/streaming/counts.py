@@ -16,8 +16,11 @@ def label_counts(stream: DataFrame, label: str) -> DataFrame:
 
 def term_counts(stream: DataFrame, text: str = "text") -> DataFrame:
     """``(token, ctf, df)`` so far; each row of the stream is a record."""
-    own = stream.select(F.explode(F.transform(F.array_distinct(tokens(F.col(text))), lambda w: F.struct(w.alias("token"), F.size(F.filter(tokens(F.col(text)), lambda x: x == w)).alias("tf")))).alias("t"))
-    return own.groupBy("t.token").agg(F.sum("t.tf").alias("ctf"), F.count(F.lit(1)).alias("df"))
+    # a token counts for df at its first place only: sorted, that is where the one before differs
+    ordered = stream.select(F.array_sort(tokens(F.col(text))).alias("t"))
+    marked = F.transform("t", lambda w, k: F.struct(w.alias("token"), F.when((k == 0) | (F.get("t", k - 1) != w), 1).otherwise(0).alias("first")))
+    own = ordered.select(F.explode(marked).alias("m")).select("m.token", "m.first")
+    return own.groupBy("token").agg(F.count(F.lit(1)).alias("ctf"), F.sum("first").alias("df"))
 
 
 def windowed_counts(stream: DataFrame, time: str, key: str, *, size: str = "1 day", late: str = "2 days") -> DataFrame:
