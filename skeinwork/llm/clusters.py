@@ -1,4 +1,4 @@
-"""Clusters of similar records: a neighbour graph by neighbour descent, communities of high modularity, linked clusters."""
+"""Clusters of similar records: a neighbour graph by neighbour descent, linked clusters, and their division into communities of high modularity."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_BYTES, broadcast_if_small, cut, drop_cut
+from ..session import broadcast_if_small, cut, drop_cut
 from .components import components
 from .grouped import whole_groups
 from .similar import copy_classes
@@ -21,8 +21,8 @@ from .terms import clean_entries
 NEIGHBOURS, SEEDS, GROUP, ROUNDS = 8, 6, 24, 4
 #: Descent ends when fewer than this share of all neighbours is new, and no record joined a linked group.
 SETTLED = 0.02
-#: Similarity under which two records aren't neighbours.
-FLOOR = 0.15
+#: Similarity under which two records aren't neighbours, and links of a linked group divided in one task.
+FLOOR, TASK_LINKS = 0.15, 200_000
 
 _FOUND = "a long, b long, s double, same boolean"
 
@@ -132,7 +132,7 @@ def neighbour_descent(records: DataFrame, threshold: float, *, keep: int = NEIGH
     return near.select("a", "b", "s"), cut(same.distinct(), "same")
 
 
-def _move(both: DataFrame, degree: DataFrame, total: float, rounds: int, settle: bool = True) -> tuple[DataFrame, int]:
+def _move(both: DataFrame, degree: DataFrame, total: float, rounds: int) -> tuple[DataFrame, int]:
     """``(id, d, c)`` after moves of single nodes until none gains by one, and how many moves there were.
 
     In the first ``rounds`` rounds half of the nodes, by hash, may move; then only the best mover from or to each community. Those moves don't touch
@@ -163,26 +163,23 @@ def _move(both: DataFrame, degree: DataFrame, total: float, rounds: int, settle:
         drop_cut(before)
         seen = label.agg(F.count_if("go").alias("go"), F.count_if("wants").alias("wants")).first()
         moves += seen["go"]
-        if not seen["wants"] or not settle and r + 1 >= rounds:
+        if not seen["wants"]:
             return label, moves
 
 
-def communities(near: DataFrame, threshold: float, *, rounds: int = 6, levels: int | None = None, settle: bool = True) -> DataFrame:
-    """``(id, community)``: records moved, round by round, to the community of a linked neighbour that gains most modularity; then communities likewise, as nodes.
+def _links(near: DataFrame, threshold: float) -> DataFrame:
+    """``(a, b, s)``, a < b: neighbours at or above ``threshold``, once."""
+    return near.filter(F.col("s") >= threshold - 1e-12).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s").groupBy("a", "b").agg(F.max("s").alias("s"))
 
-    Links are the neighbours at or above ``threshold``, weighted by similarity. Half of the nodes, by hash, may
-    move in each of the first ``rounds`` rounds of a level, then those whose moves don't touch each other; ties go to the smaller community, and a move needs a gain.
-    A level ends when no node would gain by a move, the whole when a level joins nothing. ``levels`` and ``settle=False``, which ends a level after ``rounds``, are for
-    a rough division whose communities aren't a result.
-    """
-    links = near.filter(F.col("s") >= threshold - 1e-12).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s").groupBy("a", "b").agg(F.max("s").alias("s"))
+
+def _move_apart(links: DataFrame, total: float, rounds: int) -> DataFrame:
+    """``(id, community)`` of linked groups too large for one task: nodes moved by joins, then communities likewise, as nodes, until a level joins nothing."""
     both = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "s")), "graph")
     degree = cut(both.groupBy(F.col("a").alias("id")).agg(F.sum("s").alias("d")), "degrees")
-    total = degree.agg(F.sum("d")).first()[0] or 1.0
     where = degree.select("id", F.col("id").alias("community"))
     nodes = degree.count()
-    for _ in count() if levels is None else range(levels):
-        label, moves = _move(both, degree, total, rounds, settle)
+    while nodes:
+        label, moves = _move(both, degree, total, rounds)
         left = label.select("c").distinct().count() if moves else nodes
         if left >= nodes:
             break
@@ -190,35 +187,117 @@ def communities(near: DataFrame, threshold: float, *, rounds: int = 6, levels: i
         of = label.select(F.col("id").alias("community"), F.col("c").alias("next"))
         where = cut(where.join(of, "community").select("id", F.col("next").alias("community")), "communities")
         ends = both.join(label.select(F.col("id").alias("a"), F.col("c").alias("x")), "a").join(label.select(F.col("id").alias("b"), F.col("c").alias("y")), "b")
-        both = cut(ends.filter("x <> y").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("s").alias("s")), "graph")
+        before, both = both, cut(ends.filter("x <> y").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("s").alias("s")), "graph")
         degree = cut(label.groupBy(F.col("c").alias("id")).agg(F.sum("d").alias("d")), "degrees")
+        drop_cut(before)
     return where
 
 
-def record_clusters(vectors: DataFrame, *, threshold: float = 0.5, rough: bool = False, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+def best_division(a: np.ndarray, b: np.ndarray, s: np.ndarray, total: float) -> tuple[np.ndarray, np.ndarray]:
+    """``(ids, communities)`` of one linked group: nodes in order of their ids, each moved to the community of most gain until none gains, then communities as nodes."""
+    ids, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    where = np.arange(len(ids))
+    x, y = ends[: len(a)], ends[len(a) :]
+    degree = (np.bincount(x, s, len(ids)) + np.bincount(y, s, len(ids))).tolist()
+    while True:
+        n = len(degree)
+        around: list[dict[int, float]] = [{} for _ in range(n)]
+        for p, q, w in zip(x.tolist(), y.tolist(), s.tolist()):
+            if p != q:
+                around[p][q] = around[p].get(q, 0.0) + w
+                around[q][p] = around[q].get(p, 0.0) + w
+        own, mass, moved = list(range(n)), list(degree), False
+        again = True
+        while again:
+            again = False
+            for node in range(n):
+                towards: dict[int, float] = {}
+                for other, w in around[node].items():
+                    towards[own[other]] = towards.get(own[other], 0.0) + w
+                d, here = degree[node], own[node]
+                mass[here] -= d
+                stay = towards.get(here, 0.0) - d * mass[here] / total
+                gain, to = max(((w - d * mass[c] / total, -c) for c, w in towards.items()), default=(stay, -here))
+                if gain > stay + 1e-9:
+                    own[node], again, moved = -to, True, True
+                mass[own[node]] += d
+        if not moved:
+            return ids, where
+        _, dense = np.unique(np.array(own), return_inverse=True)
+        where, x, y = dense[where], dense[x], dense[y]
+        degree = np.bincount(dense, degree).tolist()
+
+
+def _divide(total: float):
+    schema = pa.schema([("id", pa.int64()), ("community", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, bounds in whole_groups(batches, ["g"]):
+            a, b, s = (rows.column(c).to_numpy() for c in "abs")
+            for start, end in zip(bounds, bounds[1:]):
+                ids, where = best_division(a[start:end], b[start:end], s[start:end], total)
+                first = np.full(where.max() + 1, np.iinfo(np.int64).max)
+                np.minimum.at(first, where, ids)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(first[where])], schema=schema)
+
+    return run
+
+
+def communities(near: DataFrame, threshold: float, groups: DataFrame | None = None, *, task_links: int = TASK_LINKS, rounds: int = 6) -> DataFrame:
+    """``(id, community)``: nodes moved to the community of a linked neighbour that gains most modularity, until none gains, then communities likewise, as nodes, until nothing joins.
+
+    Links are the neighbours at or above ``threshold``, weighted by similarity; ``groups(id, component)`` names their linked groups, where known. No move leaves a linked group, so a
+    group of up to ``task_links`` links is divided inside one task; the nodes of larger ones move by joins, half of them by hash in each of the first ``rounds``
+    rounds of a level, then those whose moves don't touch each other. Either ends where no move raises modularity over all links. A community has the name of its smallest id.
+    """
+    links = _links(near, threshold)
+    groups = components(links) if groups is None else groups
+    links = links.join(groups.select(F.col("id").alias("a"), F.col("component").alias("g")), "a").select("g", "a", "b", "s")
+    links = cut(links, "links")
+    total = 2 * (links.agg(F.sum("s")).first()[0] or 0.5)
+    sizes = links.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    large = cut(sizes.filter(F.col("n") > task_links).select("g"), "large-groups")
+    large_count = large.count()  # at most links / task_links
+    small = links.join(broadcast_if_small(large, large_count, 16), "g", "left_anti") if large_count else links
+    laid = small.repartition("g").sortWithinPartitions("g", "a", "b").select("g", "a", "b", "s")
+    found = laid.mapInArrow(_divide(total), "id long, community long")
+    if large_count:
+        apart = _move_apart(links.join(broadcast_if_small(large, large_count, 16), "g", "left_semi").select("a", "b", "s"), total, rounds)
+        named = apart.groupBy("community").agg(F.min("id").alias("first"))
+        found = found.unionByName(apart.join(named, "community").select("id", F.col("first").alias("community")))
+    return found
+
+
+def modularity(near: DataFrame, threshold: float, parts: DataFrame) -> float:
+    """Modularity of ``parts(id, community)`` over the links of ``near``."""
+    links = _links(near, threshold)
+    x, y = parts.select(F.col("id").alias("a"), F.col("community").alias("x")), parts.select(F.col("id").alias("b"), F.col("community").alias("y"))
+    met = cut(links.join(x, "a").join(y, "b").select("x", "y", "s"), "met")
+    total = met.agg(F.sum("s")).first()[0]
+    if not total:
+        return 0.0
+    masses = met.select(F.col("x").alias("c"), "s").unionByName(met.select(F.col("y").alias("c"), "s")).groupBy("c").agg(F.sum("s").alias("d"))
+    inside = met.filter("x = y").agg(F.sum("s")).first()[0] or 0.0
+    return inside / total - masses.agg(F.sum(F.pow(F.col("d") / (2 * total), 2))).first()[0]
+
+
+def record_clusters(vectors: DataFrame, *, threshold: float = 0.5, task_links: int = TASK_LINKS, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(members, near, classes)`` of sparse records ``vectors(doc_id, term, freq)``.
 
     members(doc_id, cluster_id, community_id): every record with a usable entry whose term isn't too common; records linked (cosine of f at or above
     ``threshold``), also through others, share a cluster, named by its smallest doc_id; a community is the part of it found by
     modularity, named by one of its records. Copies (equal vectors) are compared once and share both. Records found without a link are clusters of their own.
-    Links are searched by neighbour descent, so a link may be missed; clusters are then put together from the links inside communities and those
-    between them, exactly. ``rough``: clusters are the same, but community_id is only a rough division. An empty table gives empty results.
+    Links are searched by neighbour descent, so a link may be missed. An empty table gives empty results.
     """
     records = cut(record_vectors(vectors), "records")
     classes = cut(copy_classes(records), "classes")
     firsts = cut(records.join(classes.filter("id = class_id").select("id"), "id", "left_semi"), "firsts")
     near, same = neighbour_descent(firsts, threshold, **options)
-    parts = cut(communities(near, threshold, **({"rounds": 4, "levels": 2, "settle": False} if rough else {})), "communities")
-    of = lambda side: parts.select(F.col("id").alias(side), F.col("community").alias(f"c{side}"))
-    placed = cut(same.join(of("a"), "a", "left").join(of("b"), "b", "left"), "placed")
-    inside = F.col("ca") == F.col("cb")
-    pieces = components(placed.filter(inside))
-    piece = lambda side: pieces.select(F.col("id").alias(side), F.col("component").alias(f"p{side}"))
-    across = placed.filter(F.coalesce(~inside, F.lit(True))).join(piece("a"), "a", "left").join(piece("b"), "b", "left")
-    joined = components(across.select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b")))
-    label = classes.join(pieces.select(F.col("id").alias("class_id"), F.col("component").alias("p")), "class_id", "left").withColumn("p", F.coalesce("p", "class_id"))
-    label = label.join(joined.select(F.col("id").alias("p"), "component"), "p", "left").withColumn("k", F.coalesce("component", "p"))
-    label = cut(label.join(parts.select(F.col("id").alias("class_id"), "community"), "class_id", "left").select("id", "k", F.coalesce("community", "class_id").alias("community_id")), "labels")
+    groups = components(same)
+    parts = communities(near, threshold, groups, task_links=task_links)
+    label = classes.join(groups.select(F.col("id").alias("class_id"), F.col("component").alias("k")), "class_id", "left").withColumn("k", F.coalesce("k", "class_id"))
+    label = label.join(parts.select(F.col("id").alias("class_id"), "community"), "class_id", "left")
+    label = cut(label.select("id", "k", F.coalesce("community", "class_id").alias("community_id")), "labels")
     named = label.groupBy("k").agg(F.min("id").alias("cluster_id"))
     return label.join(named, "k").select(F.col("id").alias("doc_id"), "cluster_id", "community_id"), near, classes
 

@@ -188,17 +188,19 @@ def modularity(links, label):
     return sum(2 * s for a, b, s in links if label[a] == label[b]) / total - sum(m * m for m in mass.values()) / total**2
 
 
-def test_communities(spark):
+@pytest.mark.parametrize("task_links", [200_000, 0])
+def test_communities(spark, task_links):
     cliques = [(base + i, base + j, 0.9) for base, n in ((0, 8), (10, 8), (20, 12)) for i in range(n) for j in range(i + 1, n)] + [(0, 10, 0.5), (11, 21, 0.55)]
-    label = {r["id"]: r["community"] for r in clusters.communities(spark.createDataFrame(cliques, "a long, b long, s double"), 0.5).collect()}
+    label = {r["id"]: r["community"] for r in clusters.communities(spark.createDataFrame(cliques, "a long, b long, s double"), 0.5, task_links=task_links).collect()}
     assert {frozenset(k for k in label if label[k] == c) for c in label.values()} == {frozenset(range(8)), frozenset(range(10, 18)), frozenset(range(20, 32))}
     ring = [(k, (k + 1) % 40, 0.6) for k in range(40)] + [(3, 9, 0.2)]
-    label = {r["id"]: r["community"] for r in clusters.communities(spark.createDataFrame(ring, "a long, b long, s double"), 0.5).collect()}
+    label = {r["id"]: r["community"] for r in clusters.communities(spark.createDataFrame(ring, "a long, b long, s double"), 0.5, task_links=task_links).collect()}
     assert modularity(ring[:-1], label) > 0.6  # the best has 0.68, pairs have 0.45
     assert clusters.communities(spark.createDataFrame([], "a long, b long, s double"), 0.5).count() == 0
 
 
-def test_communities_end_when_nothing_moves(spark):
+@pytest.mark.parametrize("task_links", [200_000, 0])
+def test_communities_end_when_nothing_moves(spark, task_links):
     rng = random.Random(11)
     links = {}
     for _ in range(1200):  # groups of groups, loosely linked
@@ -207,8 +209,11 @@ def test_communities_end_when_nothing_moves(spark):
         if a != b:
             links[min(a, b), max(a, b)] = round(rng.uniform(0.5, 1), 3)
     rows = [(a, b, s) for (a, b), s in links.items()] + [(1000 + k, 1001 + k, 0.7) for k in range(200)]
-    label = {r["id"]: r["community"] for r in clusters.communities(spark.createDataFrame(rows, "a long, b long, s double"), 0.5).collect()}
+    label = {r["id"]: r["community"] for r in clusters.communities(spark.createDataFrame(rows, "a long, b long, s double"), 0.5, task_links=task_links).collect()}
     whole, names = modularity(rows, label), sorted(set(label.values()))
+    parts = spark.createDataFrame(list(label.items()), "id long, community long")
+    assert abs(clusters.modularity(spark.createDataFrame(rows, "a long, b long, s double"), 0.5, parts) - whole) < 1e-9
+    assert all(min(k for k in label if label[k] == c) == c for c in names)
     between = {tuple(sorted((label[a], label[b]))) for a, b, _ in rows if label[a] != label[b]}
     assert names and between
     for x, y in between:  # no two linked communities gain by joining
