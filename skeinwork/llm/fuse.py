@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.topk import group_positions
+from ..session import cut
 
 
 def places(scores: DataFrame, query: str, item: str, run: str, score: str, runs: Sequence[str], directions: Mapping[str, int] | None = None) -> DataFrame:
@@ -61,6 +62,28 @@ def first_component(table: DataFrame, columns: Sequence[str]) -> tuple[np.ndarra
     return means, safe, vector / np.linalg.norm(vector)
 
 
+def _projection(columns: Sequence[str], means: np.ndarray, dev: np.ndarray, loadings: np.ndarray) -> Column:
+    terms = [F.lit(float(w / d)) * (F.col(c) - F.lit(float(m))) for c, m, d, w in zip(columns, means, dev, loadings)]
+    return sum(terms[1:], terms[0])
+
+
+def _first_by_sum(placed: DataFrame, query: str, item: str, columns: Sequence[str], top: int) -> DataFrame:
+    """``placed`` with ``fused``, the sum of places, without the items that can't be among the ``top`` smallest sums of their query.
+
+    Items are taken in the order of their component. The largest sum of the first ``top`` bounds the sums asked for, and as a place adds at most the
+    largest weight of the component to the projection, an item whose projection lies above that bound's is left out: exactly, since places are 1 or more.
+    """
+    means, dev, loadings = first_component(placed, columns)
+    weights = loadings / dev
+    raw = _projection(columns, np.zeros(len(columns)), dev, loadings)
+    scored = placed.select(query, item, sum((F.col(c) for c in columns[1:]), F.col(columns[0])).alias("fused"), raw.alias("__along"))
+    rank = F.row_number().over(W.partitionBy(query).orderBy("__along", item))
+    first = scored.withColumn("__k", rank).filter(F.col("__k") <= top)
+    bound = first.groupBy(query).agg(F.max("fused").alias("__bound"), F.count(F.lit(1)).alias("__n"))
+    near = F.col("__along") <= F.lit(float(weights.max()) * (1 + 1e-9)) * F.col("__bound")
+    return scored.join(bound, query).filter(near | (F.col("__n") < top)).drop("__along", "__bound", "__n")
+
+
 def fused_ranking(
     scores: DataFrame, runs: Sequence[str] | None = None, *, combine: str = "component", directions: Mapping[str, int] | None = None, top: int | None = None,
     query: str = "query_name", item: str = "docid", run: str = "run", score: str = "score",
@@ -69,20 +92,20 @@ def fused_ranking(
 
     Scores become places inside their run and query (see :func:`places`). combine='component' projects the standardised
     places on their first principal component over the whole table (fused: larger is better, rounded to 9 decimals);
-    combine='sum' adds the places with equal loadings (fused: the sum, smaller is better). Ties go to the smaller
-    item. ``top`` keeps the first so many items of each query. ``runs`` defaults to the runs that occur. An empty table gives no row.
+    combine='sum' adds the places with equal loadings (fused: the sum, smaller is better); with ``top`` the component's order finds the
+    candidates, exactly, and only those are ranked by their sums. Ties go to the smaller item. ``top`` keeps the first so many items of each query. ``runs`` defaults to the runs that occur. An empty table gives no row.
     """
     if runs is None:
         runs = sorted(r[0] for r in scores.select(run).distinct().collect() if r[0] is not None) or ["none"]
-    placed = places(scores, query, item, run, score, runs, directions)
+    placed = cut(places(scores, query, item, run, score, runs, directions), "places")
     columns = [f"p_{k}" for k in range(len(runs))]
-    if combine == "sum":
+    if combine == "sum" and top is not None:
+        fused, order = _first_by_sum(placed, query, item, columns, top), F.col("fused").asc()
+    elif combine == "sum":
         fused = placed.withColumn("fused", sum((F.col(c) for c in columns[1:]), F.col(columns[0])))
         order = F.col("fused").asc()
     elif combine == "component":
-        means, dev, loadings = first_component(placed, columns)
-        terms = [F.lit(float(-w / d)) * (F.col(c) - F.lit(float(m))) for c, m, d, w in zip(columns, means, dev, loadings)]
-        fused = placed.withColumn("fused", F.round(sum(terms[1:], terms[0]), 9))
+        fused = placed.withColumn("fused", F.round(-_projection(columns, *first_component(placed, columns)), 9))
         order = F.col("fused").desc()
     else:
         raise ValueError(f"combine: {combine}")

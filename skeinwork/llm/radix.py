@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, local_path, parallelism, shared_folder
+from ..session import broadcast_if_small, cut, local_path, parallelism, shared_folder
 
 #: Bytes of partials one DuckDB instance may be given, its memory, the most hash bits of the first level, and those of a split.
 CELL_BYTES = 96 << 20
@@ -53,17 +53,19 @@ def plan_cells(table: DataFrame, limit: int, least: int = 1) -> tuple[int, list[
     return bits, splits
 
 
-def _partition(hash_: Column, bits: int, splits: list[tuple[int, list[int]]]) -> tuple[Column, int]:
-    """The number of a row's cell and how many numbers there are: those of the first level, then those made by splits."""
-    place, count = _cell(hash_, bits), 1 << bits
-    for depth, cells in splits:
+def _partition(table: DataFrame, bits: int, splits: list[tuple[int, list[int]]]) -> tuple[DataFrame, int]:
+    """``table`` with ``__cell``, the number of a row's cell, and how many numbers there are: those of the first level, then those made by splits.
+
+    The cells a level splits are a small table, at most as many as the table has limits of bytes, joined by the bits of the hash.
+    """
+    place, count = _cell(F.col("h"), bits), 1 << bits
+    for k, (depth, cells) in enumerate(splits):
         step = min(64, depth + SPLIT_BITS) - depth
-        inner = _cell(hash_, depth + step).bitwiseAND(F.lit((1 << step) - 1))
-        parent = _cell(hash_, depth)
-        for c in cells:
-            place = F.when(parent == c, F.lit(count) + inner).otherwise(place)
-            count += 1 << step
-    return place.cast("int"), count
+        listed = table.sparkSession.createDataFrame([(c, count + (i << step)) for i, c in enumerate(cells)], f"__c{k} long, __base{k} long")
+        table = table.join(broadcast_if_small(listed, len(cells), 16), _cell(F.col("h"), depth) == F.col(f"__c{k}"), "left")
+        place = F.coalesce(F.col(f"__base{k}") + _cell(F.col("h"), depth + step).bitwiseAND(F.lit((1 << step) - 1)), place)
+        count += len(cells) << step
+    return table.withColumn("__cell", place.cast("int")), count
 
 
 def _aggregate(folder: str | None, memory_mb: int):
@@ -104,7 +106,8 @@ def radix_counts(partials: DataFrame, *, cell_bytes: int = CELL_BYTES, memory_mb
     spark = partials.sparkSession
     table = cut(partials.withColumn("h", F.xxhash64("fieldname", "term")), "radix")
     bits, splits = plan_cells(table, cell_bytes, parallelism(spark))
-    place, count = _partition(F.col("h"), bits, splits)
-    folder = local_path(shared_folder(spark))
-    placed = table.select("fieldname", "term", "total", "records", place.alias("__cell")).repartitionById(count, "__cell")
+    celled, count = _partition(table, bits, splits)
+    # DuckDB spills to local paths only: the shared folder where it is one, else the folder of the executor's own shuffle files
+    folder = local_path(shared_folder(spark)) or spark.conf.get("spark.local.dir", None)
+    placed = celled.select("fieldname", "term", "total", "records", "__cell").repartitionById(count, "__cell")
     return placed.select("fieldname", "term", "total", "records").mapInArrow(_aggregate(folder and f"{folder}/duckdb", memory_mb), PARTIAL)

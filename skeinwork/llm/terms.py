@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -60,16 +62,32 @@ def text_partials(texts: DataFrame, column: str, field: str) -> DataFrame:
 
 
 def vector_partials(entries: DataFrame, field: str) -> DataFrame:
-    """Partial counts of the terms of clean entries, summed inside each partition before the shuffle."""
+    """Partial counts of the terms of clean entries, summed inside each map task: one a term and task, more only where a task holds above FLUSH_TERMS terms."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def fold() -> int:
+            names, f, n = (np.concatenate(c) for c in zip(*held))
+            terms, where = np.unique(names, return_inverse=True)
+            total, records = np.zeros(len(terms), np.int64), np.zeros(len(terms), np.int64)
+            np.add.at(total, where, f)
+            np.add.at(records, where, n)
+            held[:] = [(terms, total, records)]
+            return len(terms)
+
+        def give() -> pa.RecordBatch:
+            terms, total, records = held.pop()
+            return pa.RecordBatch.from_arrays([pa.array([field] * len(terms), pa.string()), pa.array(terms.astype(str), pa.string()), pa.array(total), pa.array(records)], schema=_PARTIAL_ARROW)
+
         for batch in batches:
-            terms, where = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_inverse=True)
-            total = np.zeros(len(terms), np.int64)
-            np.add.at(total, where, batch.column(1).to_numpy(zero_copy_only=False))
-            records = np.bincount(where, minlength=len(terms))
-            columns = [pa.array([field] * len(terms), pa.string()), pa.array(terms.astype(str), pa.string()), pa.array(total), pa.array(records)]
-            yield pa.RecordBatch.from_arrays(columns, schema=_PARTIAL_ARROW)
+            terms = batch.column(0).to_numpy(zero_copy_only=False)
+            held.append((terms, batch.column(1).to_numpy(zero_copy_only=False), np.ones(len(terms), np.int64)))
+            if sum(len(x[0]) for x in held) > 2 * FLUSH_TERMS and fold() > FLUSH_TERMS:
+                yield give()
+        if held:
+            fold()
+            yield give()
 
     return entries.select(F.col("term").cast("long"), F.col("f").cast("long")).mapInArrow(count, PARTIAL)
 
@@ -162,13 +180,21 @@ def _measure(words: list[bytes], measure: str, window: int) -> dict:
     return {w: degrees.get(w, 0) for w in set(words)}
 
 
+def _six_places(x: float) -> float:
+    """Rounded as Spark's round does: half up on the shortest decimal form."""
+    scaled = x * 1e6
+    if abs(scaled - math.floor(scaled) - 0.5) > 1e-4:
+        return round(x, 6)
+    return float(Decimal(repr(x)).quantize(Decimal("0.000001"), ROUND_HALF_UP))
+
+
 def _best(measured: dict, rarity: dict, top: int) -> list[tuple[float, bytes]]:
     weights = [m * rarity[w] for w, m in measured.items()]
     if len(weights) > top:
         least = sorted(weights)[-top] - 2e-6
-        scored = [(-round(x, 6), w) for x, w in zip(weights, measured) if x >= least]
+        scored = [(-_six_places(x), w) for x, w in zip(weights, measured) if x >= least]
     else:
-        scored = [(-round(x, 6), w) for x, w in zip(weights, measured)]
+        scored = [(-_six_places(x), w) for x, w in zip(weights, measured)]
     return sorted(scored)[:top]
 
 
@@ -184,10 +210,8 @@ def text_weights(texts: DataFrame, *, top: int = 3, measure: str = "frequency",
     n_records = float(size["n"] or 0)
     source = texts.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     if (size["b"] or 0) <= dictionary_bytes:
-        import math
-
-        words = counts.filter(F.col("term").isNotNull()).select("term", "records").toArrow()
-        rarity = spark.sparkContext.broadcast({t.encode(): math.log(1.0 + n_records / d) for t, d in zip(words.column(0).to_pylist(), words.column(1).to_pylist())})
+        words = counts.filter(F.col("term").isNotNull()).select("term", _rarity(F.col("records"), F.lit(n_records)).alias("rarity")).toArrow()
+        rarity = spark.sparkContext.broadcast({t.encode(): r for t, r in zip(words.column(0).to_pylist(), words.column(1).to_pylist())})
         schema = pa.schema([("doc_id", pa.int64()), ("term", pa.string()), ("weight", pa.float64()), ("rank", pa.int32())])
 
         def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

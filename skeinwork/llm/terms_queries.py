@@ -92,3 +92,26 @@ SQL["p6_found"] = _PLACES + """,
      t AS (SELECT query_name, docid, row_number() OVER (PARTITION BY query_name ORDER BY sum(p), docid) AS n FROM a GROUP BY query_name, docid)
 SELECT query_name, docid FROM t WHERE n <= 10
 """
+
+SQL["p5_graph"] = _COUNTS.rstrip() + f""",
+     t AS (SELECT 'docvectors' AS fieldname, doc_id, CAST(term AS VARCHAR) AS term, term AS number, row_number() OVER (PARTITION BY doc_id ORDER BY pos, term) AS k
+           FROM (SELECT DISTINCT doc_id, pos, term FROM docvectors WHERE doc_id IS NOT NULL AND pos IS NOT NULL AND term IS NOT NULL AND freq > 0)
+           UNION ALL SELECT 'text', doc_id, l[k], NULL, k FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS k FROM (SELECT doc_id, {word_sql("text")} AS l FROM documents WHERE text IS NOT NULL))),
+     g AS (SELECT a.fieldname, a.doc_id, a.term AS a, b.term AS b FROM t a JOIN t b ON a.fieldname = b.fieldname AND a.doc_id = b.doc_id AND b.k BETWEEN a.k + 1 AND a.k + 3 AND a.term <> b.term),
+     d AS (SELECT fieldname, doc_id, term, count(DISTINCT o) AS d FROM (SELECT fieldname, doc_id, a AS term, b AS o FROM g UNION ALL SELECT fieldname, doc_id, b, a FROM g) GROUP BY ALL),
+     x AS (SELECT u.fieldname, u.doc_id, u.term, number, round(coalesce(d, 0) * ln(1 + n_records / records), 6) AS weight
+           FROM (SELECT DISTINCT fieldname, doc_id, term, number FROM t) u JOIN m USING (fieldname, term) LEFT JOIN d ON d.fieldname = u.fieldname AND d.doc_id = u.doc_id AND d.term = u.term),
+     k AS (SELECT fieldname, doc_id, term, weight, row_number() OVER (PARTITION BY fieldname, doc_id ORDER BY weight DESC, number, term) AS n FROM x)
+SELECT fieldname, doc_id, term, weight, CAST(n AS INT) AS rank FROM k WHERE n <= 3
+"""
+
+# the first component by repeated multiplication with the correlation matrix
+SQL["p6_component"] = "WITH RECURSIVE " + _PLACES.strip().removeprefix("WITH ") + """,
+     z AS MATERIALIZED (SELECT query_name, docid, run, p, avg(p) OVER (PARTITION BY run) AS m, stddev_pop(p) OVER (PARTITION BY run) AS d FROM a),
+     rho AS MATERIALIZED (SELECT x.run AS i, y.run AS j, avg((x.p - x.m) / x.d * ((y.p - y.m) / y.d)) AS r FROM z x JOIN z y ON x.query_name = y.query_name AND x.docid = y.docid GROUP BY ALL),
+     w(n, i, v) AS (SELECT DISTINCT 0, i, CAST(1 AS DOUBLE) FROM rho
+           UNION ALL SELECT n + 1, i, v / sqrt(sum(v * v) OVER ()) FROM (SELECT any_value(w.n) AS n, c.i, sum(c.r * w.v) AS v FROM w JOIN rho c ON c.j = w.i WHERE w.n < 300 GROUP BY c.i)),
+     l AS (SELECT i AS run, abs(v) AS v FROM w WHERE n = 300),
+     f AS (SELECT query_name, docid, round(-sum(v * (p - m) / d), 9) AS fused FROM z JOIN l USING (run) GROUP BY query_name, docid)
+SELECT query_name, docid, fused, CAST(row_number() OVER (PARTITION BY query_name ORDER BY fused DESC, docid) AS INT) AS rank FROM f
+"""

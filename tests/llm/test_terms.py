@@ -184,3 +184,28 @@ def test_component_ignores_scale(spark):
     top = {r["docid"] for r in one.filter("rank <= 5").collect()}
     best = {d for q in {b[0] for b in base} for _, d in sorted(((-x, d) for p, d, x in base if p == q))[:5]}
     assert len(top & best) >= 0.7 * len(best)
+
+
+def test_a_hot_term_has_one_partial_a_task(spark):
+    entries = spark.range(4000).selectExpr("7 AS term", "1 AS f").repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    rows = terms.vector_partials(entries, "x").collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(rows) <= 3 and sum(r["total"] for r in rows) == sum(r["records"] for r in rows) == 4000
+
+
+def test_candidates_by_component_lose_no_smallest_sum(spark):
+    import random
+
+    rng = random.Random(9)
+    rows = [(f"q{q}", d, run, rng.choice([1.0, 2.0, rng.random() * (-1 if run == "c" else 1)])) for q in range(6) for d in range(5 if q == 5 else 60) for run in "abc" if rng.random() < 0.8]
+    scores = spark.createDataFrame(rows, "query_name string, docid long, run string, score double")
+    whole = fuse.fused_ranking(scores, combine="sum").filter("rank <= 10")
+    some = fuse.fused_ranking(scores, combine="sum", top=10)
+    key = lambda df: sorted((r["query_name"], r["docid"], r["fused"], r["rank"]) for r in df.collect())
+    assert key(some) == key(whole)
+
+
+def test_six_places():
+    assert [terms._six_places(x) for x in (1.0000005, 2.5e-7, 0.1234564999, 3.0)] == [1.000001, 0.0, 0.123456, 3.0]
