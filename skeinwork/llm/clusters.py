@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..session import broadcast_if_small, cut, drop_cut
 from .components import components
 from .grouped import whole_groups
+from .links import links_between
 from .similar import copy_classes
 from .terms import clean_entries
 
@@ -132,6 +133,16 @@ def neighbour_descent(records: DataFrame, threshold: float, *, keep: int = NEIGH
     return near.select("a", "b", "s"), cut(same.distinct(), "same")
 
 
+def _with_missed(firsts: DataFrame, near: DataFrame, groups: DataFrame, missed: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
+    """``(near, groups)`` of neighbour descent with the links ``missed(a, b, s, x, y)`` by it; groups has every record."""
+    both = missed.select("a", "b", "s").unionByName(missed.select(F.col("b").alias("a"), F.col("a").alias("b"), "s"))
+    merged = near.unionByName(both).groupBy("a", "b").agg(F.max("s").alias("s"))
+    near = merged.withColumn("k", F.row_number().over(W.partitionBy("a").orderBy(F.desc("s"), "b"))).filter(F.col("k") <= keep).drop("k")
+    joined = components(missed.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("id").alias("g"), F.col("component").alias("whole"))
+    known = firsts.select("id").join(groups, "id", "left").select("id", F.coalesce("component", "id").alias("g"))
+    return cut(near, "near"), cut(known.join(joined, "g", "left").select("id", F.coalesce("whole", "g").alias("component")), "groups")
+
+
 def _move(both: DataFrame, degree: DataFrame, total: float, rounds: int) -> tuple[DataFrame, int]:
     """``(id, d, c)`` after moves of single nodes until none gains by one, and how many moves there were.
 
@@ -287,13 +298,17 @@ def record_clusters(vectors: DataFrame, *, threshold: float = 0.5, task_links: i
     members(doc_id, cluster_id, community_id): every record with a usable entry whose term isn't too common; records linked (cosine of f at or above
     ``threshold``), also through others, share a cluster, named by its smallest doc_id; a community is the part of it found by
     modularity, named by one of its records. Copies (equal vectors) are compared once and share both. Records found without a link are clusters of their own.
-    Links are searched by neighbour descent, so a link may be missed. An empty table gives empty results.
+    Neighbour descent finds most links; what it missed between its groups is found by comparing all records of different groups that can be linked,
+    so clusters are whole. ``near`` and communities have links of the descent and those. An empty table gives empty results.
     """
     records = cut(record_vectors(vectors), "records")
     classes = cut(copy_classes(records), "classes")
     firsts = cut(records.join(classes.filter("id = class_id").select("id"), "id", "left_semi"), "firsts")
     near, same = neighbour_descent(firsts, threshold, **options)
     groups = components(same)
+    missed = links_between(firsts, groups, threshold)
+    if missed.take(1):
+        near, groups = _with_missed(firsts, near, groups, missed, options.get("keep", NEIGHBOURS))
     parts = communities(near, threshold, groups, task_links=task_links)
     label = classes.join(groups.select(F.col("id").alias("class_id"), F.col("component").alias("k")), "class_id", "left").withColumn("k", F.coalesce("k", "class_id"))
     label = label.join(parts.select(F.col("id").alias("class_id"), "community"), "class_id", "left")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skeinwork.llm import clusters, components, similar
+from skeinwork.llm import clusters, components, links, similar
 
 SCHEMA = "id long, keys array<long>, values array<double>, asks boolean, own int"
 
@@ -179,6 +179,51 @@ def test_clusters(spark):
     assert all(r["size"] == sizes[r["community_id"]] >= 2 and 1 <= len(r["typical"]) <= 3 for r in rows)
 
 
+def test_clusters_miss_no_link(spark):
+    rng = random.Random(8)
+    records = {k: {10_000 * (k + 1) + t: 1 for t in range(20)} for k in range(120)}  # like no other
+    for k in range(90):  # of three that share six terms each has six of its own, which are rarer
+        records[200 + k] = {t: 1 for t in range(6 * (k // 3), 6 * (k // 3) + 6)} | {1000 * (k + 1) + t: 1 for t in range(6)}
+    for k in range(240):  # many pairs near 0.5
+        records[1000 + k] = {5_000_000 + t: rng.choice([1, 2]) for t in rng.sample(range(40), 8)}
+    members, near, classes = clusters.record_clusters(entries(spark, records))
+    got = {r["doc_id"]: r["cluster_id"] for r in members.collect()}
+    df = {}
+    for v in records.values():
+        for t in v:
+            df[t] = df.get(t, 0) + 1
+    kept = {d: {t: f for t, f in v.items() if 5 * df[t] <= len(records)} for d, v in records.items()}
+    want = {d: d for d in records}
+    for a, b in sorted(pairs_of(kept, 0.5)):
+        x, y = want[a], want[b]
+        want = {d: min(x, y) if c in (x, y) else c for d, c in want.items()}
+    assert got == want and all(got[200 + k] == 200 + k // 3 * 3 for k in range(90))
+    found = {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in near.filter("s >= 0.5").collect()}
+    assert found <= pairs_of(kept, 0.5)
+    assert {r["cluster_id"] for r in clusters.describe(members, near, classes).collect()} >= {200 + 3 * k for k in range(30)}
+
+
+@pytest.mark.parametrize("block", [8192, 5])
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8])
+def test_links_between_groups(spark, block, threshold):
+    vectors = {k: {t: abs(f) for t, f in v.items()} for k, v in planted(250, seed=7, keys=90, size=12).items()}
+    want = pairs_of(vectors, threshold)
+    known = {k: min(k, next((b for a, b in sorted(want) if a == k), k)) if k % 2 else k // 50 for k in vectors}  # groups of any kind
+    groups = spark.createDataFrame([(k, c) for k, c in known.items() if c != k], "id long, component long")
+    found = links.links_between(table(spark, vectors), groups, threshold, block=block).collect()
+    assert all((min(r["a"], r["b"]), max(r["a"], r["b"])) in want and abs(cosine(vectors[r["a"]], vectors[r["b"]]) - r["s"]) < 1e-9 for r in found)
+    assert all((r["x"], r["y"]) == (known[r["a"]], known[r["b"]]) for r in found)
+
+    def whole(ends):
+        label = {c: c for c in known.values()}
+        for a, b in ends:
+            x, y = label[a], label[b]
+            label = {d: min(x, y) if c in (x, y) else c for d, c in label.items()}
+        return label
+
+    assert whole((r["x"], r["y"]) for r in found) == whole((known[a], known[b]) for a, b in want)
+
+
 def modularity(links, label):
     total = 2 * sum(s for _, _, s in links)
     mass = {}
