@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skeinwork.operators import cluster, knn, slices
+from skeinwork.operators import cluster, knn, letor, pmf, slices
 
 
 def top_plan(df) -> str:
@@ -73,3 +73,26 @@ def test_sweep_equals_predictions(spark):
     want = {(k, x["user_id"], x["item_id"]): (x["average"], x["weighted"]) for k in (2, 7) for x in knn.predict(top.filter(F.col("rank") <= k + 1), r, pairs, k).collect()}
     assert got.keys() == want.keys()
     np.testing.assert_allclose([got[p] for p in want], list(want.values()), rtol=0, atol=1e-12)
+
+
+def test_items_of_hot_users_meet_in_the_tasks(spark, monkeypatch):
+    cells = {(u, i): float((u * 7 + i * 3) % 4 - 1) for u in range(30) for i in range(1200) if u < 2 or (u * i) % 97 == 3}  # users 0 and 1 hold all items
+    r = spark.createDataFrame([(u, i, x) for (u, i), x in cells.items()], "user_id long, item_id long, x double")
+    sums = knn.item_similarity(r, r.filter("item_id % 200 = 0").select(F.col("item_id").alias("id")).distinct(), "x")
+    assert "MapInArrow" in sums._jdf.queryExecution().optimizedPlan().toString()
+    want: dict = {}
+    for (u, a), x in cells.items():
+        for b in range(1200):
+            if a % 200 == 0 and a != b and x and cells.get((u, b)):
+                want[a, b] = want.get((a, b), 0.0) + x * cells[u, b]
+    assert {(x["a"], x["b"]): x["s"] for x in sums.collect()} == want
+
+
+def test_sample_pairs_are_not_shuffled(spark):
+    r = spark.createDataFrame([(u, i, float(5 if i % 2 else 1)) for u in range(3) for i in range(6)], "user_id long, item_id long, score double")
+    u, v = pmf.hashed_factors(r, "user_id", "u"), pmf.hashed_factors(r, "item_id", "v")
+    samples = letor.pair_samples(r, u, v)
+    plan = samples._jdf.queryExecution().optimizedPlan().toString()
+    assert samples.count() == 54
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert "low#" in joins[0]  # the last join makes the pairs
